@@ -13,6 +13,9 @@ ORACLES: dict[str, str] = oracles.ORACLES
 #: Production weights of the sources: one hot web source and curated ones.
 MIX_WEIGHTS = {"src0": 15, "src1": 6, "src2": 5, "src3": 4, "src4": 3, "src5": 2} | {f"src{i}": 1 for i in range(6, 20)}
 
+#: Permitted sequence lengths, in tokens.
+PACK_LENGTHS = (1024, 2048, 4096, 8192)
+
 
 def _register(function):
     QUERIES[function.__name__] = function
@@ -36,3 +39,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attesta.llm.exact_dedup import exact_dedup
 
     return exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.resharding import reshard
+
+    found = reshard(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", "block")
+
+
+@_register
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), PACK_LENGTHS)
+
+
+@_register
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.quality_rules import quality_rules
+
+    found = quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_lines_removed", "n_chars_removed", F.sha2("clean_text", 256).alias("clean_sha256"))
