@@ -85,13 +85,13 @@ def mix(docs: DataFrame, weights: dict[str, int], source_col: str = "source", id
     kinds = round_kinds(source_counts(docs, source, weights, block_rows))
     slots = kinds.selectExpr("all", "first", "slots", "base", "on_target", "posexplode(picks) as (slot, pick)")
     slots = slots.selectExpr("all[pick.idx].mix_source as mix_source", "pick.nth as nth", "first", "slots", "base", "slot", "pick.release as mix_release", "pick.deadline as mix_deadline", "on_target as mix_on_target")
-    firsts = kinds.groupBy().agg(F.sort_array(F.collect_list("first")).alias("firsts"))
+    firsts = kinds.select(F.explode("all").alias("one"), "first").groupBy(F.col("one.mix_source").alias("mix_source")).agg(F.sort_array(F.collect_list("first")).alias("firsts"))
     weight = F.create_map(*[F.lit(x) for x in chain.from_iterable(sorted(weights.items()))])
 
     placed = positions(docs.withColumn("mix_source", source).withColumn("__place", hash32(F.lit(seed), F.col(id_col))), "mix_source", "__place", [id_col], "__at")
     placed = placed.withColumn("mix_block", F.expr(f"__at div {block_rows}")).withColumn("__weight", weight[F.col("mix_source")].cast("long"))
     placed = placed.withColumn("mix_round", F.expr("mix_block div __weight")).withColumn("nth", F.expr("mix_block % __weight + 1"))
-    placed = placed.withColumn("__one", F.lit(1)).join(F.broadcast(firsts.withColumn("__one", F.lit(1))), "__one")
+    placed = placed.join(F.broadcast(firsts), "mix_source")
     placed = placed.withColumn("first", F.expr("array_max(filter(firsts, f -> f <= mix_round))"))
     joined = placed.join(F.broadcast(slots), ["mix_source", "nth", "first"])
     joined = joined.withColumn("mix_slot", F.expr("base + (mix_round - first) * slots + slot")).withColumn("mix_pos", F.expr(f"mix_slot * {block_rows} + __at % {block_rows}"))

@@ -62,3 +62,24 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_lines_removed", "n_chars_removed", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+@_register
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.language_id import identify, learn
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out)
+    model = learn(labelled.select(F.col("doc_id").alias("id"), "text", "lang"))
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_register
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from attesta.llm.token_counts import token_counts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("text")
