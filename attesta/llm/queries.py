@@ -83,3 +83,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("text")
+
+
+@_register
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
