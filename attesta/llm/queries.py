@@ -90,3 +90,19 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attesta.llm.jaccard_join import jaccard_components
 
     return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.suffix_dedup import remove_repeats
+
+    found = remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@_register
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.kneser_ney import classify
+
+    trusted = _table(spark, sf_dir, "labels").filter("quality = 1")
+    return classify(_table(spark, sf_dir, "documents"), trusted)
