@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", app: str = "attesta", **conf: str) -> SparkSession:
@@ -23,3 +25,17 @@ def build_session(master: str = "local[*]", app: str = "attesta", **conf: str) -
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, its lineage cut.
+
+    The folder is the cluster's spark.checkpoint.dir; only a local session without one gets a temporary folder.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="attesta-"))
+    return df.checkpoint()
