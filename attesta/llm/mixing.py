@@ -80,8 +80,10 @@ def mix(docs: DataFrame, weights: dict[str, int], source_col: str = "source", id
     weights = {str(k): int(v) for k, v in weights.items()} | {REST: int(rest_weight)}
     if min(weights.values()) < 1 or block_rows < 1:
         raise ValueError("weights and block_rows are positive integers")
+    kept = [c for c in docs.columns if c not in OUT]
+    own = {c: f"__in{i}" for i, c in enumerate(kept)}  # so that no name clashes with a working column
+    docs, source_col, id_col = docs.select(*[F.col(c).alias(n) for c, n in own.items()]), own[source_col], own[id_col]
     source = F.coalesce(F.when(F.col(source_col).isin(*weights), F.col(source_col)), F.lit(REST))
-    docs = docs.drop(*OUT)
     kinds = round_kinds(source_counts(docs, source, weights, block_rows))
     slots = kinds.selectExpr("all", "first", "slots", "base", "on_target", "posexplode(picks) as (slot, pick)")
     slots = slots.selectExpr("all[pick.idx].mix_source as mix_source", "pick.nth as nth", "first", "slots", "base", "slot", "pick.release as mix_release", "pick.deadline as mix_deadline", "on_target as mix_on_target")
@@ -95,7 +97,7 @@ def mix(docs: DataFrame, weights: dict[str, int], source_col: str = "source", id
     placed = placed.withColumn("first", F.expr("array_max(filter(firsts, f -> f <= mix_round))"))
     joined = placed.join(F.broadcast(slots), ["mix_source", "nth", "first"])
     joined = joined.withColumn("mix_slot", F.expr("base + (mix_round - first) * slots + slot")).withColumn("mix_pos", F.expr(f"mix_slot * {block_rows} + __at % {block_rows}"))
-    return joined.select(*docs.columns, *OUT)
+    return joined.select(*[F.col(n).alias(c) for c, n in own.items()], *OUT)
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, int], **settings) -> DataFrame:
