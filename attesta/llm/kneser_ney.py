@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut, keep_ids
+from attesta.llm.common import cut, keep_ids, small_batches
 
 ORDER = 5
 #: Text bytes handled at a time.
@@ -170,7 +170,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     has no perplexity and isn't kept. Without any trusted text nothing has a threshold and everything with text is kept. Rows
     that share an id and language are scored as one document. An empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     ids = cut(trusted.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct(), "trusted")
     # A fifth of the trusted texts stays out of the model, so their perplexities are those of unseen text.
     apart = F.pmod(F.xxhash64("id"), F.lit(5)) == 0

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.llm.common import small_batches
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -151,6 +153,6 @@ def identify(docs: DataFrame, model: BitmaskFilter, text_col: str = "text") -> D
         for batch in texts:
             yield pd.DataFrame([score(x, own) for x in batch], columns=["lang_pred", "score"])
 
-    docs = docs.drop("lang_pred", "score")
+    docs = small_batches(docs).drop("lang_pred", "score")
     found = docs.withColumn("__found", predict(F.col(text_col)))
     return found.select(*docs.columns, F.col("__found.lang_pred").alias("lang_pred"), F.col("__found.score").alias("score"))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.common import small_batches
+
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -115,7 +117,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lost_percent: int = 3
         for batch in texts:
             yield pd.DataFrame([measure(bytes(x), lost_percent) for x in batch], columns=_OUT)
 
-    docs = docs.drop(*_OUT)
+    docs = small_batches(docs).drop(*_OUT)
     judged = docs.withColumn("__judged", judge(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     return judged.select(*docs.columns, *[F.col(f"__judged.{name}").alias(name) for name in _OUT])
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut, keep_ids
+from attesta.llm.common import cut, keep_ids, small_batches
 from attesta.llm.prefix_intervals import repeated_starts
 from attesta.llm.shingles import _tables, mix
 
@@ -160,7 +160,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shorter than ``length`` lose nothing. Ids must be unique among rows (null ids count as one more id); other columns are ignored. An empty
     table gives an empty result.
     """
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    docs = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     spans = cut(repeats(docs, length, most_segments), "spans")
     own = cut(spans.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("found")), "spans-by-id")
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.common import small_batches
+
 #: A word with the space before it, or a run of other white space.
 _PRETOKEN = re.compile(rb" ?[^ \t-\r]{1,65536}|[ \t-\r]{1,65536}")
 
@@ -103,6 +105,6 @@ def token_counts(docs: DataFrame, vocabulary: str, text_col: str = "text", chunk
                     part, size = [], 0
             yield pd.DataFrame(rows + trie.count_texts(part), columns=names)
 
-    docs = docs.drop(*names)
+    docs = small_batches(docs).drop(*names)
     found = docs.withColumn("__counted", counted(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     return found.select(*docs.columns, *[F.col(f"__counted.{name}").alias(name) for name in names])
