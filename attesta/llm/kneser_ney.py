@@ -137,6 +137,7 @@ def score(docs: DataFrame, model: DataFrame, shard_rows: int) -> DataFrame:
             for context in (False, True):
                 own = rows[(rows["level"] == k) & (rows["is_context"] == context)].sort_values("gram")
                 arrays[(k, context)] = own["gram"].to_numpy(np.int64), own["value"].to_numpy(float)
+        del rows
         held = docs.sparkSession.sparkContext.broadcast(arrays)
 
         def run(batches: Iterator[pd.DataFrame], held=held, s=s) -> Iterator[pd.DataFrame]:
@@ -161,7 +162,7 @@ def score(docs: DataFrame, model: DataFrame, shard_rows: int) -> DataFrame:
     return every.groupBy("id", "lang").agg((F.sum("n") / shards).cast("long").alias("n"), F.sum("loglik").alias("loglik"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, margin: float = 1.15, shard_rows: int = 3_000_000) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, margin: float = 1.15, shard_rows: int = 250_000) -> DataFrame:
     """One row per id and language of ``docs``: id, lang, n_bytes, perplexity (of a byte), threshold, kept.
 
     ``trusted`` has the ids of trusted documents (other columns ignored). Four fifths of them train the model; the perplexities
