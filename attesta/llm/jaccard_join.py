@@ -12,9 +12,11 @@ Documents are sets of five-word shingles and link at a Jaccard similarity of 0.8
 * The boundary is where the estimated records of both sides together are fewest.
 * Candidates are compared exactly, on the words of their texts.
 
-A first pass links each representative to one pivot for each of its least shingles. That
-settles large groups of near copies with linearly many comparisons; the lists then give only
-pairs from different groups, so no group is expanded into all its pairs, and every link between two different groups is still found.
+A first pass links each representative to one pivot for each of its least shingles: the holder whose least shingles are
+the most common, so the likely centre of a group. That settles large groups of near copies with linearly many comparisons; the lists
+then give only pairs from different groups, so no group is expanded into all its pairs, and every link between two different groups
+is still found. Each set carries a bitmap in which every shingle toggles one bit: two bitmaps differ in at most as many bits as the
+sets in shingles, so pairs whose bitmaps differ in more than links allow are never made.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import BROADCAST_IDS, cut, keep_ids
+from attesta.llm.common import BROADCAST_IDS, cut, keep_ids, small_batches
 from attesta.llm.components import components
 from attesta.llm.shingles import exact_set, mix, shingle_sets
 
 NO_ID = -(2**63)
-LEAST = 8
+LEAST = 16
+#: Longs of the bitmap in which each shingle of a set toggles one bit.
+BITS = 8
 #: Sets above this size are never light, so the size histogram is bounded.
 MOST_LIGHT = 200
 
@@ -51,8 +55,12 @@ def _texts(batch: pd.Series) -> list[bytes]:
     return [bytes(x) for x in batch]
 
 
-def _trim(tokens: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Misra-Gries: sum equal tokens, subtract the (most+1)-th largest count from all."""
+def _trim(fresh: np.ndarray, kept: tuple[np.ndarray, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Misra-Gries: add the counts of ``fresh`` tokens to the summary, subtract the (most+1)-th largest from all."""
+    fresh.sort()
+    first = np.flatnonzero(np.concatenate(([True], fresh[1:] != fresh[:-1])))
+    tokens = np.concatenate((fresh[first], kept[0]))
+    counts = np.concatenate((np.diff(np.append(first, len(fresh))), kept[1]))
     order = np.argsort(tokens, kind="stable")
     tokens, counts = tokens[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
@@ -63,9 +71,21 @@ def _trim(tokens: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray
     return tokens, counts
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """Parity of the set's shingles in each of 64 * BITS places."""
+    flips = np.bincount((own >> np.uint64(20)).astype(np.int64) & (64 * BITS - 1), minlength=64 * BITS)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
+def may_link(a: str, b: str, n: str, m: str) -> str:
+    """SQL: sizes and bitmaps allow a link. The overlap is at least 4/9 of both sizes together."""
+    differ = " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(BITS))
+    return f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) and {differ} <= {n} + {m} - 2 * ((4 * ({n} + {m}) + 8) div 9)"
+
+
 def sketch(docs: DataFrame, counters: int) -> DataFrame:
     """Rows of kind 0: id, n, digest of the set, its least hashes; of kind 1: frequent shingles of a task and their counts."""
-    columns = ["kind", "id", "n", "d1", "d2", "least", "token", "times"]
+    columns = ["kind", "id", "n", "d1", "d2", "least", "bits", "token", "times"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -75,20 +95,20 @@ def sketch(docs: DataFrame, counters: int) -> DataFrame:
             rows = []
             for key, own in zip(batch["id"], shingle_sets(_texts(batch["text"])), strict=True):
                 digest = xxhash.xxh3_128_intdigest(own.tobytes())
-                rows.append((0, key, len(own), (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, own[:LEAST].view(np.int64), 0, 0))
+                rows.append((0, key, len(own), (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, own[:LEAST].view(np.int64), bitmap(own), 0, 0))
                 waiting.append(own)
                 size += len(own)
-                if size > 2_000_000:
-                    own_tokens = np.concatenate([*waiting, kept[0]])
-                    kept = _trim(own_tokens, np.concatenate([np.ones(size, np.int64), kept[1]]), counters)
+                if size > 1_000_000:
+                    kept = _trim(np.concatenate(waiting), kept, counters)
                     waiting, size = [], 0
             yield pd.DataFrame(rows, columns=columns)
         if size:
-            kept = _trim(np.concatenate([*waiting, kept[0]]), np.concatenate([np.ones(size, np.int64), kept[1]]), counters)
+            kept = _trim(np.concatenate(waiting), kept, counters)
         often = kept[1] > 1
-        yield pd.DataFrame({"kind": 1, "id": 0, "n": 0, "d1": 0, "d2": 0, "least": pd.Series([[]] * int(often.sum()), dtype=object), "token": kept[0][often].view(np.int64), "times": kept[1][often]}, columns=columns)
+        none = pd.Series([[]] * int(often.sum()), dtype=object)
+        yield pd.DataFrame({"kind": 1, "id": 0, "n": 0, "d1": 0, "d2": 0, "least": none, "bits": none, "token": kept[0][often].view(np.int64), "times": kept[1][often]}, columns=columns)
 
-    return docs.mapInPandas(run, "kind int, id long, n long, d1 long, d2 long, least array<long>, token long, times long")
+    return docs.mapInPandas(run, "kind int, id long, n long, d1 long, d2 long, least array<long>, bits array<long>, token long, times long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -180,7 +200,7 @@ def with_labels(rows: DataFrame, labels: DataFrame, key: str = "id") -> DataFram
     return rows.join(named, key, "left").withColumn("comp", F.coalesce("__label", key)).drop("__label")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 100_000, frequent: int = 200_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 200_000, frequent: int = 200_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Texts are lower-cased (A-Z), split at ASCII white space, and linked as the module says; ``component_id`` is the least id
@@ -188,40 +208,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing. A null id counts as the least of all and is given back as null. Rows that share an id are one document of the graph.
     Other columns are ignored. An empty table gives an empty result.
     """
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    docs = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     sketches = cut(sketch(docs, counters), "sketches")
-    rows = sketches.filter("kind = 0").select("id", "n", "d1", "d2", "least")
+    rows = sketches.filter("kind = 0").select("id", "n", "d1", "d2", "least", "bits")
     often = sketches.filter("kind = 1").groupBy("token").agg(F.sum("times").alias("times")).filter("times > 8")
     often = sorted((np.uint64(r["token"] & (2**64 - 1)), r["times"]) for r in often.orderBy(F.desc("times"), "token").limit(frequent).collect())
     heavy, times = np.array([t for t, _ in often], np.uint64), np.array([c for _, c in often], np.int64)
 
-    classes = cut(rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "least")).alias("first")).select("n", "d1", "d2", "first.*"), "classes")
+    classes = cut(rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "least", "bits")).alias("first")).select("n", "d1", "d2", "first.*"), "classes")
     copies = cut(rows.filter("n > 0").select("id").distinct().join(classes.select("id"), "id", "left_anti"), "copies")
 
-    # Pivots: twice, towards the least and then the greatest id that holds a shingle.
-    links = None
-    labels = docs.sparkSession.createDataFrame([], "v long, label long")
     least = cut(classes.select("id", "n", F.explode("least").alias("token")), "least")
-    lists = least.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c <= 100").agg((F.sum((F.col("c") - 1) * F.col("c")) / F.sum("c")).alias("scanned"))
-    scanned = lists.first()["scanned"] or 0.0
-    for end in (F.min, F.max):
-        open_rows = with_labels(least, labels).filter("id = comp")
-        pivots = open_rows.groupBy("token").agg(end("id").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-        met = open_rows.join(pivots, "token").filter("id <> pivot").groupBy("id", "pivot", "n").agg(F.count(F.lit(1)).alias("met"))
-        pairs = met.filter(2 * F.col("met") >= F.least(F.lit(LEAST), F.col("n"))).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        found = verify(pairs, docs)
-        links = found if links is None else cut(links.union(found), "links")
-        labels = components(links)
+    held = cut(least.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "held")
+    scanned = held.filter("c <= 100").agg(F.sum((F.col("c") - 1) * F.col("c"))).first()[0] or 0
+    scanned = scanned / max(1, least.count())
+    shared = cut(least.join(held, "token"), "shared")
+    central = shared.groupBy("id").agg(F.sum(F.log2("c")).alias("score"))
+    central = shared.select("token", "id").join(central, "id")
+    pivots = central.groupBy("token").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("pivot"))
+    met = shared.join(pivots, "token").filter("id <> pivot").groupBy("id", "pivot", "n").agg(F.count(F.lit(1)).alias("met"))
+    met = met.filter(2 * F.col("met") >= F.least(F.lit(LEAST), F.col("n")))
+    marks = classes.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("bits").alias("p"))
+    met = met.join(classes.select("id", "bits"), "id").join(marks, "pivot").filter(may_link("bits", "p", "n", "m"))
+    links = verify(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")), docs)
+    labels = components(links)
 
     sizes = {r["s"]: r["c"] for r in classes.filter(f"n <= {MOST_LIGHT}").groupBy(F.col("n").alias("s")).agg(F.count(F.lit(1)).alias("c")).collect()}
     boundary = choose_boundary(sizes, scanned)
     own = with_labels(keep_ids(docs, copies, "id", "left_anti"), labels)
     lists = cut(postings(own, heavy, times, boundary), "postings")
     mixed = lists.groupBy("light", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("light", "token")
-    lists = cut(lists.join(mixed, ["light", "token"]), "mixed-lists")
-    left = lists.select("light", "token", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    right = lists.select("light", "token", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    near = (F.col("ca") < F.col("cb")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (F.col("light") | (F.greatest("na", "nb") > boundary))
+    lists = lists.join(mixed, ["light", "token"]).join(classes.select("id", "bits"), "id")
+    lists = cut(lists, "mixed-lists")
+    left = lists.select("light", "token", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = lists.select("light", "token", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    near = F.expr(f"ca < cb and {may_link('ba', 'bb', 'na', 'nb')}") & (F.col("light") | (F.greatest("na", "nb") > boundary))
     met = left.join(right, ["light", "token"]).filter(near).groupBy("a", "b", "light", "na", "nb").agg(F.count(F.lit(1)).alias("met"))
     pairs = met.filter("light or met >= 1 + least(na, nb) div 20").select("a", "b").distinct()
     links = cut(links.union(verify(pairs, docs)), "links")
