@@ -36,8 +36,8 @@ class TrieCounter:
     """
 
     def __init__(self, scores: dict[bytes, float], most: int = 500_000):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        # Every suffix of a piece is a key, without a score unless it is a piece: where none fits, no longer piece ends.
+        self.ends: dict[bytes, float | None] = {piece[k:]: None for piece in scores for k in range(1, len(piece))} | scores
         self.floor = min(scores.values(), default=0.0)
         self.most = most
         self.terminals: dict[bytes, int] = {}
@@ -48,7 +48,7 @@ class TrieCounter:
         The stacks hold best scores and token counts for the prefixes of the current path; the next word keeps
         those of the prefix it shares with the one before.
         """
-        scores, longest, floor, terminals = self.scores, self.longest, self.floor, self.terminals
+        ends, floor, terminals = self.ends, self.floor, self.terminals
         best, count = [0.0], [0]
         last = b""
         for word in sorted(words):
@@ -58,8 +58,10 @@ class TrieCounter:
             del best[shared + 1 :], count[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 top, tokens = best[end - 1] + floor, count[end - 1] + 1
-                for start in range(max(0, end - longest), end):
-                    own = scores.get(word[start:end])
+                for start in range(end - 1, -1, -1):
+                    own = ends.get(word[start:end], False)
+                    if own is False:
+                        break
                     if own is not None:
                         own += best[start]
                         if own > top or own == top and count[start] + 1 < tokens:
