@@ -105,7 +105,7 @@ def _expand(block: list[tuple[int, int, bytes, bool]], length: int) -> Iterator[
 
 def repeats(docs: DataFrame, length: int, most_segments: int) -> DataFrame:
     """(id, lo, hi): spans of bytes covered by strings that start anywhere else too."""
-    every = segments(docs, length)
+    every = cut(segments(docs, length), "every")
     shared = every.groupBy("anchor").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("c")).filter("c > 1").select("anchor")
     found = cut(every.join(shared, "anchor"), "segments")
     kinds = found.groupBy("anchor", "digest", "size").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "start", "many")).alias("one"))
