@@ -16,7 +16,9 @@ A first pass links each representative to one pivot for each of its least shingl
 the most common, so the likely centre of a group. That settles large groups of near copies with linearly many comparisons; the lists
 then give only pairs from different groups, so no group is expanded into all its pairs, and every link between two different groups
 is still found. Each set carries a bitmap in which every shingle toggles one bit: two bitmaps differ in at most as many bits as the
-sets in shingles, so pairs whose bitmaps differ in more than links allow are never made.
+sets in shingles, so pairs whose bitmaps differ in more than links allow are never made. Large sets would fill such a bitmap, so
+they are cut into parts by hash: if two sets link, then in some part the shares of both do too, since the ratio of two sums is at
+most the largest ratio of their terms. Parts are listed, counted and compared by bitmap like sets of their own.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ LEAST = 16
 BITS = 8
 #: Sets above this size are never light, so the size histogram is bounded.
 MOST_LIGHT = 200
+#: Sets of this size are cut into 4 parts, those of 4 times the size into 16, and so on.
+CUT = 512
 
 
 def needed(n):
@@ -71,10 +75,20 @@ def _trim(fresh: np.ndarray, kept: tuple[np.ndarray, np.ndarray], most: int) ->
     return tokens, counts
 
 
-def bitmap(own: np.ndarray) -> np.ndarray:
-    """Parity of the set's shingles in each of 64 * BITS places."""
-    flips = np.bincount((own >> np.uint64(20)).astype(np.int64) & (64 * BITS - 1), minlength=64 * BITS)
-    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+def bitmaps(own: np.ndarray, part: np.ndarray | int = 0, parts: int = 1) -> np.ndarray:
+    """Parity of the shingles of each part in each of 64 * BITS places."""
+    place = (own >> np.uint64(20)).astype(np.int64) & (64 * BITS - 1)
+    flips = np.bincount(place + part * (64 * BITS), minlength=parts * 64 * BITS)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(parts, BITS)
+
+
+def levels(n: int) -> range:
+    """The levels, of 4 ** level parts, at which a set of n shingles is listed: its own and that of a linked larger set.
+
+    A pair meets at the level of its larger set.
+    """
+    level = lambda x: next(k for k in range(64) if x < CUT * 4**k)
+    return range(level(n), level(5 * n // 4) + 1)
 
 
 def may_link(a: str, b: str, n: str, m: str) -> str:
@@ -95,7 +109,7 @@ def sketch(docs: DataFrame, counters: int) -> DataFrame:
             rows = []
             for key, own in zip(batch["id"], shingle_sets(_texts(batch["text"])), strict=True):
                 digest = xxhash.xxh3_128_intdigest(own.tobytes())
-                rows.append((0, key, len(own), (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, own[:LEAST].view(np.int64), bitmap(own), 0, 0))
+                rows.append((0, key, len(own), (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, own[:LEAST].view(np.int64), bitmaps(own)[0], 0, 0))
                 waiting.append(own)
                 size += len(own)
                 if size > 1_000_000:
@@ -152,13 +166,18 @@ def choose_boundary(sizes: dict[int, int], scanned: float) -> int:
 
 
 def postings(docs: DataFrame, heavy: np.ndarray, times: np.ndarray, boundary: int) -> DataFrame:
-    """(light, token, id, comp, n): the subset keys of light sets and the prefix shingles of heavy ones."""
+    """(light, token, id, comp, n, part, least): the subset keys of light sets and the prefix shingles of the parts of heavy ones.
+
+    ``part`` is 4 ** level plus the number of the part, ``least`` the smallest set that has this level as its own. Rows without
+    ``light`` tell the ``size`` and ``bits`` of each part.
+    """
     held = docs.sparkSession.sparkContext.broadcast((heavy, times))  # at most the summary's counters
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often, frequency = held.value
         for batch in batches:
             out: list[tuple] = []
+            marks: list[tuple] = []
             size = 0
             for key, comp, own in zip(batch["id"], batch["comp"], shingle_sets(_texts(batch["text"])), strict=True):
                 n = len(own)
@@ -173,23 +192,38 @@ def postings(docs: DataFrame, heavy: np.ndarray, times: np.ndarray, boundary: in
                     p = own[: n - needed(n) + 2]
                     i, j = np.triu_indices(len(p), 1)
                     lo, hi = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
-                    out.append((True, mix(lo * np.uint64(0x9E3779B97F4A7C15) + hi), key, comp, n))
+                    out.append((True, mix(lo * np.uint64(0x9E3779B97F4A7C15) + hi), key, comp, n, np.ones(len(i), np.int64), 0))
                     size += len(i)
+                    if 5 * n <= 4 * boundary:
+                        marks.append((key, np.array([1]), np.array([n]), bitmaps(own)))
                 if 5 * n > 4 * boundary:
-                    out.append((False, own[: n - needed(n) + counted(n)], key, comp, n))
-                    size += len(out[-1][1])
+                    for level in levels(n):
+                        parts = 4**level
+                        part = (own & np.uint64(parts - 1)).astype(np.int64)
+                        sizes = np.bincount(part, minlength=parts)
+                        by_part = np.argsort(part, kind="stable")
+                        place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                        first = by_part[place < np.repeat(sizes - needed(sizes) + counted(sizes), sizes)]
+                        token = mix(own[first] + np.uint64(level)) if level else own[first]
+                        out.append((False, token, key, comp, n, parts + part[first], CUT * 4 ** (level - 1) if level else 0))
+                        marks.append((key, parts + np.arange(parts), sizes, bitmaps(own, part, parts)))
+                        size += len(first)
                 if size > 200_000:
-                    yield table(out)
-                    out, size = [], 0
-            yield table(out)
+                    yield table(out, marks)
+                    out, marks, size = [], [], 0
+            yield table(out, marks)
 
-    def table(out: list[tuple]) -> pd.DataFrame:
-        lengths = [len(tokens) for _, tokens, _, _, _ in out]
-        light, key, comp, n = (np.repeat(np.array([row[k] for row in out], kind), lengths) for k, kind in ((0, bool), (2, np.int64), (3, np.int64), (4, np.int32)))
-        tokens = np.concatenate([row[1] for row in out]).view(np.int64) if out else np.zeros(0, np.int64)
-        return pd.DataFrame({"light": light, "token": tokens, "id": key, "comp": comp, "n": n})
+    def table(out: list[tuple], marks: list[tuple]) -> pd.DataFrame:
+        lengths = [len(row[1]) for row in out]
+        light, key, comp, n, least = (np.repeat(np.array([row[k] for row in out], kind), lengths) for k, kind in ((0, bool), (2, np.int64), (3, np.int64), (4, np.int64), (6, np.int64)))
+        joined = lambda rows, k: np.concatenate([row[k] for row in rows]) if rows else np.zeros(0, np.int64)
+        lists = pd.DataFrame({"light": light.astype(object), "token": joined(out, 1).view(np.int64), "id": key, "comp": comp, "n": n, "part": joined(out, 5), "least": least, "size": 0, "bits": None})
+        key = np.repeat(np.array([row[0] for row in marks], np.int64), [len(row[1]) for row in marks])
+        bits = [b for row in marks for b in row[3]]
+        sized = pd.DataFrame({"light": None, "token": 0, "id": key, "comp": 0, "n": 0, "part": joined(marks, 1), "least": 0, "size": joined(marks, 2), "bits": pd.Series(bits, dtype=object)})
+        return pd.concat([x for x in (lists, sized) if len(x)] or [lists])
 
-    return docs.mapInPandas(run, "light boolean, token long, id long, comp long, n int")
+    return docs.mapInPandas(run, "light boolean, token long, id long, comp long, n long, part long, least long, size long, bits array<long>")
 
 
 def with_labels(rows: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
@@ -236,15 +270,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = {r["s"]: r["c"] for r in classes.filter(f"n <= {MOST_LIGHT}").groupBy(F.col("n").alias("s")).agg(F.count(F.lit(1)).alias("c")).collect()}
     boundary = choose_boundary(sizes, scanned)
     own = with_labels(keep_ids(docs, copies, "id", "left_anti"), labels)
-    lists = cut(postings(own, heavy, times, boundary), "postings")
+    listed = cut(postings(own, heavy, times, boundary), "postings")
+    marks = listed.filter("light is null and size > 0").select("id", "part", "size", "bits")
+    lists = listed.filter("light is not null").select("light", "token", "id", "comp", "n", "part", "least")
     mixed = lists.groupBy("light", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("light", "token")
-    lists = lists.join(mixed, ["light", "token"]).join(classes.select("id", "bits"), "id")
-    lists = cut(lists, "mixed-lists")
-    left = lists.select("light", "token", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    right = lists.select("light", "token", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    near = F.expr(f"ca < cb and {may_link('ba', 'bb', 'na', 'nb')}") & (F.col("light") | (F.greatest("na", "nb") > boundary))
-    met = left.join(right, ["light", "token"]).filter(near).groupBy("a", "b", "light", "na", "nb").agg(F.count(F.lit(1)).alias("met"))
-    pairs = met.filter("light or met >= 1 + least(na, nb) div 20").select("a", "b").distinct()
+    lists = cut(lists.join(mixed, ["light", "token"]).join(marks, ["id", "part"]), "mixed-lists")
+    left = lists.select("light", "token", "part", "least", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("size").alias("sa"), F.col("bits").alias("ba"))
+    right = lists.select("light", "token", "part", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("size").alias("sb"), F.col("bits").alias("bb"))
+    near = F.expr(f"ca < cb and 5 * least(na, nb) >= 4 * greatest(na, nb) and greatest(na, nb) >= least and {may_link('ba', 'bb', 'sa', 'sb')}")
+    near = near & (F.col("light") | (F.greatest("na", "nb") > boundary))
+    met = left.join(right, ["light", "token", "part"]).filter(near).groupBy("a", "b", "light", "part", "sa", "sb").agg(F.count(F.lit(1)).alias("met"))
+    pairs = met.filter("light or met >= 1 + least(sa, sb) div 20").select("a", "b").distinct()
     links = cut(links.union(verify(pairs, docs)), "links")
     labels = components(links)
 

@@ -173,7 +173,9 @@ def test_token_counts(docs, corpus, empty, tmp_path):
     assert token_counts.token_counts(empty, str(path)).count() == 0
 
 
-def test_jaccard(spark, docs, corpus, empty):
+@pytest.mark.parametrize("cut", [512, 8])
+def test_jaccard(spark, docs, corpus, empty, cut, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CUT", cut)
     sets = {k: shingles.exact_set((t or "").encode()) for k, t, *_ in corpus}
     label = {k: k for k in sets}
     for a in sets:
@@ -200,7 +202,7 @@ def test_bitmap_never_hides_a_link():
         common = rng.integers(0, 2**63, 80).astype(np.uint64)
         a = np.unique(np.concatenate((common, rng.integers(0, 2**63, rng.integers(0, 12)).astype(np.uint64))))
         b = np.unique(np.concatenate((common, rng.integers(0, 2**63, rng.integers(0, 12)).astype(np.uint64))))
-        differ = sum(bin(int(x) & (2**64 - 1)).count("1") for x in jaccard_join.bitmap(a) ^ jaccard_join.bitmap(b))
+        differ = sum(bin(int(x) & (2**64 - 1)).count("1") for x in jaccard_join.bitmaps(a)[0] ^ jaccard_join.bitmaps(b)[0])
         assert differ <= len(np.setxor1d(a, b))
 
 
