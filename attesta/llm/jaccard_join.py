@@ -166,10 +166,10 @@ def choose_boundary(sizes: dict[int, int], scanned: float) -> int:
 
 
 def postings(docs: DataFrame, heavy: np.ndarray, times: np.ndarray, boundary: int) -> DataFrame:
-    """(light, token, id, comp, n, part, least): the subset keys of light sets and the prefix shingles of the parts of heavy ones.
+    """(level, token, id, comp): the subset keys of light sets (level -1) and the prefix shingles of the parts of heavy ones.
 
-    ``part`` is 4 ** level plus the number of the part, ``least`` the smallest set that has this level as its own. Rows without
-    ``light`` tell the ``size`` and ``bits`` of each part.
+    The low bits of a shingle tell its part. Rows without ``token`` tell ``n``, ``size`` and ``bits`` of each ``part``, which is
+    4 ** level plus its number.
     """
     held = docs.sparkSession.sparkContext.broadcast((heavy, times))  # at most the summary's counters
 
@@ -192,10 +192,10 @@ def postings(docs: DataFrame, heavy: np.ndarray, times: np.ndarray, boundary: in
                     p = own[: n - needed(n) + 2]
                     i, j = np.triu_indices(len(p), 1)
                     lo, hi = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
-                    out.append((True, mix(lo * np.uint64(0x9E3779B97F4A7C15) + hi), key, comp, n, np.ones(len(i), np.int64), 0))
+                    out.append((-1, mix(lo * np.uint64(0x9E3779B97F4A7C15) + hi), key, comp))
                     size += len(i)
                     if 5 * n <= 4 * boundary:
-                        marks.append((key, np.array([1]), np.array([n]), bitmaps(own)))
+                        marks.append((key, n, np.array([1]), np.array([n]), bitmaps(own)))
                 if 5 * n > 4 * boundary:
                     for level in levels(n):
                         parts = 4**level
@@ -204,9 +204,8 @@ def postings(docs: DataFrame, heavy: np.ndarray, times: np.ndarray, boundary: in
                         by_part = np.argsort(part, kind="stable")
                         place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                         first = by_part[place < np.repeat(sizes - needed(sizes) + counted(sizes), sizes)]
-                        token = mix(own[first] + np.uint64(level)) if level else own[first]
-                        out.append((False, token, key, comp, n, parts + part[first], CUT * 4 ** (level - 1) if level else 0))
-                        marks.append((key, parts + np.arange(parts), sizes, bitmaps(own, part, parts)))
+                        out.append((level, own[first], key, comp))
+                        marks.append((key, n, parts + np.arange(parts), sizes, bitmaps(own, part, parts)))
                         size += len(first)
                 if size > 200_000:
                     yield table(out, marks)
@@ -214,16 +213,16 @@ def postings(docs: DataFrame, heavy: np.ndarray, times: np.ndarray, boundary: in
             yield table(out, marks)
 
     def table(out: list[tuple], marks: list[tuple]) -> pd.DataFrame:
-        lengths = [len(row[1]) for row in out]
-        light, key, comp, n, least = (np.repeat(np.array([row[k] for row in out], kind), lengths) for k, kind in ((0, bool), (2, np.int64), (3, np.int64), (4, np.int64), (6, np.int64)))
         joined = lambda rows, k: np.concatenate([row[k] for row in rows]) if rows else np.zeros(0, np.int64)
-        lists = pd.DataFrame({"light": light.astype(object), "token": joined(out, 1).view(np.int64), "id": key, "comp": comp, "n": n, "part": joined(out, 5), "least": least, "size": 0, "bits": None})
-        key = np.repeat(np.array([row[0] for row in marks], np.int64), [len(row[1]) for row in marks])
-        bits = [b for row in marks for b in row[3]]
-        sized = pd.DataFrame({"light": None, "token": 0, "id": key, "comp": 0, "n": 0, "part": joined(marks, 1), "least": 0, "size": joined(marks, 2), "bits": pd.Series(bits, dtype=object)})
+        spread = lambda rows, k, by: np.repeat(np.array([row[k] for row in rows], np.int64), [len(row[by]) for row in rows])
+        bits = pd.Series([b for row in marks for b in row[4]], dtype=object)
+        whole = pd.Series(joined(out, 1).view(np.int64), dtype="Int64")
+        lists = pd.DataFrame({"level": spread(out, 0, 1), "token": whole, "id": spread(out, 2, 1), "comp": spread(out, 3, 1), "n": 0, "part": 0, "size": 0, "bits": None})
+        none = pd.Series([pd.NA] * len(bits), dtype="Int64")
+        sized = pd.DataFrame({"level": 0, "token": none, "id": spread(marks, 0, 2), "comp": 0, "n": spread(marks, 1, 2), "part": joined(marks, 2), "size": joined(marks, 3), "bits": bits})
         return pd.concat([x for x in (lists, sized) if len(x)] or [lists])
 
-    return docs.mapInPandas(run, "light boolean, token long, id long, comp long, n long, part long, least long, size long, bits array<long>")
+    return docs.mapInPandas(run, "level int, token long, id long, comp long, n long, part long, size long, bits array<long>")
 
 
 def with_labels(rows: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
@@ -271,16 +270,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     boundary = choose_boundary(sizes, scanned)
     own = with_labels(keep_ids(docs, copies, "id", "left_anti"), labels)
     listed = cut(postings(own, heavy, times, boundary), "postings")
-    marks = listed.filter("light is null and size > 0").select("id", "part", "size", "bits")
-    lists = listed.filter("light is not null").select("light", "token", "id", "comp", "n", "part", "least")
-    mixed = lists.groupBy("light", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("light", "token")
-    lists = cut(lists.join(mixed, ["light", "token"]).join(marks, ["id", "part"]), "mixed-lists")
-    left = lists.select("light", "token", "part", "least", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("size").alias("sa"), F.col("bits").alias("ba"))
-    right = lists.select("light", "token", "part", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("size").alias("sb"), F.col("bits").alias("bb"))
-    near = F.expr(f"ca < cb and 5 * least(na, nb) >= 4 * greatest(na, nb) and greatest(na, nb) >= least and {may_link('ba', 'bb', 'sa', 'sb')}")
-    near = near & (F.col("light") | (F.greatest("na", "nb") > boundary))
-    met = left.join(right, ["light", "token", "part"]).filter(near).groupBy("a", "b", "light", "part", "sa", "sb").agg(F.count(F.lit(1)).alias("met"))
-    pairs = met.filter("light or met >= 1 + least(sa, sb) div 20").select("a", "b").distinct()
+    marks = listed.filter("token is null and size > 0").select("id", "part", "n", "size", "bits")
+    lists = listed.filter("token is not null").select("level", "token", "id", "comp")
+    mixed = lists.groupBy("level", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("level", "token")
+    part = F.expr("case when level < 1 then 1L else shiftleft(1L, 2 * level) + (token & (shiftleft(1L, 2 * level) - 1)) end")
+    lists = cut(lists.join(mixed, ["level", "token"]).withColumn("part", part).join(marks, ["id", "part"]), "mixed-lists")
+    left = lists.select("level", "token", "part", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("size").alias("sa"), F.col("bits").alias("ba"))
+    right = lists.select("level", "token", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("size").alias("sb"), F.col("bits").alias("bb"))
+    own_level = f"level < 1 or greatest(na, nb) >= {CUT} * shiftleft(1L, 2 * level - 2)"
+    near = F.expr(f"ca < cb and 5 * least(na, nb) >= 4 * greatest(na, nb) and ({own_level}) and {may_link('ba', 'bb', 'sa', 'sb')}")
+    near = near & ((F.col("level") < 0) | (F.greatest("na", "nb") > boundary))
+    met = left.join(right, ["level", "token"]).filter(near).groupBy("a", "b", "level", "part", "sa", "sb").agg(F.count(F.lit(1)).alias("met"))
+    pairs = met.filter("level < 0 or met >= 1 + least(sa, sb) div 20").select("a", "b").distinct()
     links = cut(links.union(verify(pairs, docs)), "links")
     labels = components(links)
 
