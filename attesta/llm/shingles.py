@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(1, 257, dtype=np.uint64)
 _LOWER[0x41:0x5B] += 32
+_BLANK = re.compile(rb"[ \t-\r]")
 _CHUNK = 1 << 20
 _powers: list[np.ndarray] = []
 
@@ -46,15 +48,16 @@ def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
-    """Pieces of about a chunk, cut at white space."""
+    """Pieces of about a chunk, cut at white space; one that begins with a word over a chunk reaches to that word's end."""
     at = 0
     while len(text) - at > _CHUNK:
-        cut = max(text.rfind(c, at, at + _CHUNK) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        # From at + 1: the white space at which the last piece ended is not a cut.
+        cut = max(text.rfind(c, at + 1, at + _CHUNK) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
         if cut < 0:
-            found = [p for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (p := text.find(c, at + _CHUNK)) >= 0]
+            found = _BLANK.search(text, at + _CHUNK)
             if not found:
                 break
-            cut = min(found)
+            cut = found.start()
         yield text[at:cut]
         at = cut
     yield text[at:]

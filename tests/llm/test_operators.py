@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -196,6 +197,16 @@ def test_shingles_of_long_texts(monkeypatch):
     assert (list(shingles.shingle_sets([text]))[0] == whole).all() and len(whole) == len(shingles.exact_set(text))
 
 
+def test_pieces_of_a_text_with_a_word_above_a_chunk(monkeypatch):
+    monkeypatch.setattr(shingles, "_CHUNK", 1000)
+    long = b"x" * 3500
+    for text in (b"hello " + long, b"hello\n" + long + b" a b c d e", long + b"\t" + long, long, b" " * 2500 + long, b"a b c d " * 300 + long + b" e f g h" * 300):
+        pieces = list(itertools.islice(shingles._pieces(text), 100))  # bounded: it once gave empty pieces for ever
+        assert b"".join(pieces) == text and all(pieces)
+        assert all(p[:1].isspace() for p in pieces[1:])
+        assert len(list(shingles.shingle_sets([text]))[0]) == len(shingles.exact_set(text))
+
+
 def test_bitmap_never_hides_a_link():
     rng = np.random.default_rng(1)
     for _ in range(200):
