@@ -100,6 +100,9 @@ def mix(docs: DataFrame, weights: dict[str, int], source_col: str = "source", id
     return joined.select(*[F.col(n).alias(c) for c, n in own.items()], *OUT)
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str, int], **settings) -> DataFrame:
-    """The rows of ``docs`` in mixture order, with their own columns."""
-    return mix(docs, weights, **settings).repartitionByRange("mix_pos").sortWithinPartitions("mix_pos").select(*docs.columns)
+def mixed_documents(docs: DataFrame, weights: dict[str, int], keep: tuple[str, ...] = (), **settings) -> DataFrame:
+    """The rows of ``docs`` in mixture order, with their own columns and those of ``mix`` named in ``keep``.
+
+    Later steps that shuffle lose the order of rows: they need ``mix_pos``.
+    """
+    return mix(docs, weights, **settings).repartitionByRange("mix_pos").sortWithinPartitions("mix_pos").select(*[c for c in docs.columns if c not in keep], *keep)

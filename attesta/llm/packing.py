@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.common import cut, hash32, positions
@@ -120,6 +120,21 @@ def run_table(runs: list[tuple], groups: list[list[int]], lengths: tuple[int, ..
     return tuple(np.array(rows, dtype=np.int64).reshape(-1, 7).T.copy())
 
 
+def cut_pieces(docs: DataFrame, longest: int, tokens: Column, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` with piece, start and n_tokens of every piece of at most ``longest`` tokens."""
+    counted = docs.select(*keep, tokens.cast("long").alias("__tokens")).filter("__tokens > 0")
+    pieces = counted.select(*keep, "__tokens", F.explode(F.expr(f"sequence(0L, (__tokens - 1) div {longest})")).alias("piece"))
+    return pieces.select(*keep, "piece", (F.col("piece") * longest).alias("start"), F.least(F.lit(longest), F.col("__tokens") - F.col("piece") * longest).cast("long").alias("n_tokens"))
+
+
+def places(table: tuple[np.ndarray, ...], n: np.ndarray, rank: np.ndarray) -> dict[str, np.ndarray]:
+    """Places of pieces by their lengths ``n`` and ranks among the pieces of that length."""
+    size, first, bins, each, offset, used, length = table
+    at = np.searchsorted(size * _STRIDE + first, n * _STRIDE + rank, "right") - 1
+    step = rank - first[at]
+    return {"bin_id": bins[at] + step // each[at], "bin_offset": offset[at] + step % each[at] * n, "bin_used": used[at], "bin_length": length[at]}
+
+
 def pack(docs: DataFrame, lengths: tuple[int, ...] = (1024, 2048, 4096, 8192), tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", quadratic: float = 1 / 65536) -> DataFrame:
     """One row per piece: id, piece, start, n_tokens, bin_id, bin_offset, bin_used, bin_length.
 
@@ -129,22 +144,48 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = (1024, 2048, 4096, 8192), t
     """
     lengths = tuple(sorted({int(x) for x in lengths}))
     longest = lengths[-1]
-    counted = docs.select(F.col(id_col), (word_count(text_col) if tokens is None else tokens).cast("long").alias("__tokens")).filter("__tokens > 0")
-    pieces = counted.select(id_col, "__tokens", F.explode(F.expr(f"sequence(0L, (__tokens - 1) div {longest})")).alias("piece"))
-    pieces = pieces.select(id_col, "piece", (F.col("piece") * longest).alias("start"), F.least(F.lit(longest), F.col("__tokens") - F.col("piece") * longest).cast("long").alias("n_tokens"))
-    pieces = cut(pieces, "pieces")
+    pieces = cut(cut_pieces(docs, longest, word_count(text_col) if tokens is None else tokens, [id_col]), "pieces")
     histogram = {r["n_tokens"]: r["n"] for r in pieces.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `longest` rows
     table = run_table(*pack_histogram(histogram, lengths, quadratic), lengths)
     held = docs.sparkSession.sparkContext.broadcast(table)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size, first, bins, each, offset, used, length = held.value
         for x in batches:
-            n, rank = x["n_tokens"].to_numpy(), x["__rank_of"].to_numpy()
-            at = np.searchsorted(size * _STRIDE + first, n * _STRIDE + rank, "right") - 1
-            step = rank - first[at]
-            yield x[[id_col, "piece", "start", "n_tokens"]].assign(bin_id=bins[at] + step // each[at], bin_offset=offset[at] + step % each[at] * n, bin_used=used[at], bin_length=length[at])
+            found = places(held.value, x["n_tokens"].to_numpy(), x["__rank_of"].to_numpy())
+            yield x[[id_col, "piece", "start", "n_tokens"]].assign(**found)
 
     ranked = positions(pieces.withColumn("__place", hash32(id_col, "piece")), "n_tokens", "__place", [id_col, "piece"], "__rank_of")
     kind = dict(docs.dtypes)[id_col]
     return ranked.select(id_col, "piece", "start", "n_tokens", "__rank_of").mapInPandas(place, f"`{id_col}` {kind}, piece long, start long, n_tokens long, bin_id long, bin_offset long, bin_used long, bin_length long")
+
+
+def pack_in_order(docs: DataFrame, lengths: tuple[int, ...] = (1024, 2048, 4096, 8192), place_col: str = "mix_pos", window: int = 1024, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", quadratic: float = 1 / 65536) -> DataFrame:
+    """``pack`` within windows of ``window`` places, so that the bins follow the order of ``place_col``.
+
+    A row belongs to the window of its place (a whole number from 0, not null and its own: rows that share a place are ordered by id, and a
+    window holds as many rows as it has places). Pieces of one window share bins, with none of another; pieces of equal length are taken
+    in the order of places; bins are numbered window by window, within one by their earliest piece. Each
+    window is packed in one task, which its bound allows; the last bins of each stay less full than those of ``pack``.
+    """
+    lengths = tuple(sorted({int(x) for x in lengths}))
+    if window < 1:
+        raise ValueError("window is a positive integer")
+    own = docs.select(F.col(id_col), F.col(place_col).cast("long").alias("__place"), (word_count(text_col) if tokens is None else tokens).alias("__words"))
+    pieces = cut_pieces(own, lengths[-1], F.col("__words"), [id_col, "__place"]).withColumn("__window", F.expr(f"__place div {window}"))
+    kind = dict(docs.dtypes)[id_col]
+
+    def fill(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["__place", id_col, "piece"], ignore_index=True)
+        rank = x.groupby("n_tokens").cumcount().to_numpy()
+        runs, groups = pack_histogram(x["n_tokens"].value_counts().to_dict(), lengths, quadratic)
+        found = places(run_table(runs, groups, lengths), x["n_tokens"].to_numpy(), rank)
+        found["bin_id"] = pd.factorize(found["bin_id"])[0]  # by the first piece in order
+        return x[["__window", id_col, "piece", "start", "n_tokens"]].assign(**found)
+
+    columns = f"`{id_col}` {kind}, piece long, start long, n_tokens long, bin_id long, bin_offset long, bin_used long, bin_length long"
+    filled = cut(pieces.groupBy("__window").applyInPandas(fill, f"__window long, {columns}"), "windows")
+    bins = filled.groupBy("__window").agg((F.max("bin_id") + 1).alias("__bins"))
+    before = Window.partitionBy().orderBy("__window").rowsBetween(Window.unboundedPreceding, -1)  # one row a window: few
+    bases = bins.select("__window", F.coalesce(F.sum("__bins").over(before), F.lit(0)).alias("__base"))
+    placed = filled.join(bases, "__window").withColumn("bin_id", F.col("bin_id") + F.col("__base"))
+    return placed.select(id_col, "piece", "start", "n_tokens", "bin_id", "bin_offset", "bin_used", "bin_length")

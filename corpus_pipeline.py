@@ -8,7 +8,7 @@ from attesta.llm.common import cut
 from attesta.llm.exact_dedup import drop_copies
 from attesta.llm.jaccard_join import one_of_each
 from attesta.llm.mixing import mixed_documents
-from attesta.llm.packing import pack
+from attesta.llm.packing import pack_in_order
 from attesta.llm.quality_rules import clean_documents
 from attesta.llm.queries import MIX_WEIGHTS, PACK_LENGTHS
 
@@ -29,13 +29,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order that interleaves the sources at their weights."""
-    return mixed_documents(docs, MIX_WEIGHTS)
+    """All documents, in the order that interleaves the sources at their weights, with their place in it."""
+    return mixed_documents(docs, MIX_WEIGHTS, keep=("mix_pos",))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in training sequences."""
-    return pack(docs, PACK_LENGTHS)
+    """The pieces of the documents and their places in training sequences, which follow the mixture window by window."""
+    return pack_in_order(docs, PACK_LENGTHS)
 
 
 STAGES = [

@@ -95,6 +95,30 @@ def test_packing(docs, corpus, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_in_order(docs, corpus, empty):
+    """Bins stay within windows of the given order, are numbered along it, and hold every token once."""
+    mixed = mixing.mixed_documents(docs, {"src0": 5, "src1": 2}, keep=("mix_pos",))
+    place = {r["doc_id"]: r["mix_pos"] for r in mixed.collect()}
+    assert len(place) == len(corpus)
+    found = packing.pack_in_order(mixed, (64, 128, 256), window=32).toPandas()
+    words = {k: len((t or "").encode().split()) for k, t, *_ in corpus}
+    assert found.groupby("doc_id")["n_tokens"].sum().to_dict() == {k: n for k, n in words.items() if n}
+    found["place"] = found["doc_id"].map(place)
+    assert (found.groupby("bin_id")["place"].agg(lambda x: (x // 32).nunique()) == 1).all()
+    first = found.groupby("bin_id")["place"].min()
+    assert first.index.tolist() == list(range(len(first))) and first.is_monotonic_increasing
+    for _, own in found.groupby("bin_id"):
+        own = own.sort_values("bin_offset")
+        assert own["bin_offset"].tolist() == [0, *np.cumsum(own["n_tokens"])[:-1]]
+        used = own["n_tokens"].sum()
+        assert (own["bin_used"] == used).all() and (own["bin_length"] == min(c for c in (64, 128, 256) if c >= used)).all()
+    whole = packing.pack(docs, (64, 128, 256)).toPandas()
+    single = packing.pack_in_order(mixed, (64, 128, 256), window=10**6).toPandas()
+    sizes = lambda x: sorted(x.drop_duplicates("bin_id")["bin_used"])
+    assert sizes(single) == sizes(whole)
+    assert packing.pack_in_order(mixing.mixed_documents(empty, {"a": 1}, keep=("mix_pos",))).count() == 0
+
+
 def test_packing_equals_one_by_one():
     """Runs of equal pieces give the rooms that placing each piece gives."""
     histogram = {60: 3, 50: 4, 31: 5, 20: 9, 7: 11, 3: 8}
