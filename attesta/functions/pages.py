@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from html import unescape
 from html.parser import HTMLParser
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.functions.constants import PILOT_TERMS, SIZE_TERMS, WINDOW_STOP, WINDOW_TERMS
+from attesta.session import settle
 
 HIDDEN = ("script", "style", "svg", "noscript")
 BREAK = "\n[...]\n"
@@ -141,41 +143,49 @@ def windows_udf(kind: str, keywords: list[str] | None = None):
     return run
 
 
-#: Quotes up to this number go to every task as one automaton; more are joined by their starts.
-MOST_QUOTES = 20_000
+#: Quotes, and characters of them, that go to every task as one automaton; more go in parts.
+MOST_QUOTES, MOST_QUOTE_CHARS = 20_000, 4_000_000
 
 
 def quotes_udf(quotes: list[tuple[int, str]]):
-    """A vectorised function text -> sorted ids of the quotes it contains."""
+    """A vectorised function text -> sorted ids of the quotes it contains; an id stands once for each of its quotes found."""
 
     @F.pandas_udf("array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids: dict[str, list[int]] = {}
+        for key, quote in quotes:
+            ids.setdefault(quote, []).append(key)
         try:
             import ahocorasick
 
             automaton = ahocorasick.Automaton()
-            ids: dict[str, list[int]] = {}
-            for key, quote in quotes:
-                ids.setdefault(quote, []).append(key)
-            for quote, keys in ids.items():
-                automaton.add_word(quote, keys)
+            for quote in ids:
+                automaton.add_word(quote, quote)
             if ids:
                 automaton.make_automaton()
-            find = lambda x: {k for _, keys in automaton.iter(x) for k in keys} if ids else set()
+            held = lambda x: {quote for _, quote in automaton.iter(x)} if ids else set()
         except ImportError:
-            find = lambda x: {key for key, quote in quotes if quote in x}
+            held = lambda x: {quote for quote in ids if quote in x}
         for batch in batches:
-            yield batch.map(lambda x: sorted(find(x or "")))
+            yield batch.map(lambda x: sorted(key for quote in held(x or "") for key in ids[quote]))
 
     return run
 
 
-def contained_by_start(docs: DataFrame, quotes: DataFrame, width: int = 40) -> DataFrame:
-    """(item_id, doc_id) by an equi-join on the first ``width`` characters at word starts, then whole comparison.
+def contained(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(item_id, doc_id) for each row of ``quotes`` (item_id, quote) and each of ``docs`` (doc_id, text) whose text holds the quote literally.
 
-    For quotes of at least ``width`` characters that stand at the start of a word.
+    Empty and null quotes are left out. The quotes are dealt by hash into parts of about ``MOST_QUOTES`` rows or ``MOST_QUOTE_CHARS``
+    characters; each part is one automaton and one pass over the texts. With more parts than one, each
+    pass is written before the next, so the driver holds one part at a time.
     """
-    starts = f"array_distinct(transform(filter(sequence(1, length(text) - {width - 1}), i -> i = 1 or substr(text, i - 1, 1) in (' ', '\\n')), i -> substr(text, i, {width})))"
-    grams = docs.filter(F.length("text") >= width).select("doc_id", "text", F.explode(F.expr(starts)).alias("start"))
-    long = quotes.filter(F.length("quote") >= width).withColumn("start", F.substring("quote", 1, width))
-    return grams.join(long, "start").filter(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id").distinct()
+    quotes = quotes.select("item_id", "quote").filter("length(quote) > 0")
+    rows, chars = quotes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("quote")), F.lit(0))).first()
+    parts = max(1, -(-rows // MOST_QUOTES), -(-chars // MOST_QUOTE_CHARS))
+    dealt = F.pmod(F.xxhash64("item_id", "quote"), F.lit(parts))
+    found = []
+    for part in range(parts):
+        own = [tuple(r) for r in quotes.filter(dealt == part).collect()]
+        pairs = docs.select("doc_id", F.explode(quotes_udf(own)("text")).alias("item_id")).select("item_id", "doc_id")
+        found.append(pairs if parts == 1 else settle(pairs))
+    return reduce(DataFrame.unionByName, found)

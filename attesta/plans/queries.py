@@ -450,13 +450,9 @@ def row_quarantine(spark, d):
     "SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 0",
 )
 def quote_containment(spark, d):
-    """Literal containment of every quote, in one pass over each text with an automaton of all quotes."""
-    quotes = [tuple(r) for r in table(spark, d, "benchmark").filter("length(text) > 0").select("item_id", "text").limit(P.MOST_QUOTES + 1).collect()]
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    if len(quotes) > P.MOST_QUOTES:  # too many to send to every task: one pass for each part of them
-        benchmark = table(spark, d, "benchmark").filter("length(text) > 0").select("item_id", F.col("text").alias("quote"))
-        return P.contained_by_start(docs, benchmark).select("item_id", "doc_id")
-    return docs.select("doc_id", F.explode(P.quotes_udf(quotes)("text")).alias("item_id")).select("item_id", "doc_id")
+    """Literal containment of every quote, by an automaton of all quotes or of each part of very many."""
+    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return P.contained(table(spark, d, "documents").select("doc_id", "text"), quotes)
 
 
 @query("html_visible_text")

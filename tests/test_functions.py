@@ -130,3 +130,14 @@ def test_alias(spark):
     alias = text.alias_udf(5, 0.88, False)
     rows = spark.createDataFrame([("acme steel", "acme steel works"), ("abc", "abd"), ("", "x")], "a string, b string")
     assert [r[0] for r in rows.select(alias("a", "b")).collect()] == [True, False, False]
+
+
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_contained_at_every_size(spark, monkeypatch, most):
+    """Short quotes, and ones inside words or after tabs and brackets, are found in one part of the quotes and in many."""
+    monkeypatch.setattr(pages, "MOST_QUOTES", most)
+    texts = [(1, "a [quoted] passage\tafter a tab"), (2, "inside unquotedwords"), (3, None), (4, ""), (5, "x" * 60 + "(" + "y" * 50)]
+    quotes = [(1, "quoted"), (2, "after"), (3, "a"), (4, "y" * 45), (5, ""), (6, None), (7, "absent"), (7, "tab"), (7, "passage"), (8, "quoted"), (9, "x" * 41)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = pages.contained(docs, spark.createDataFrame(quotes, "item_id long, quote string"))
+    assert sorted(map(tuple, found.collect())) == sorted((k, d) for k, q in quotes if q for d, t in texts if q in (t or ""))
