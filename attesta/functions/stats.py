@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +45,46 @@ def kappa(pairs: DataFrame, a: str, b: str, degenerate: float | None = 1.0) -> D
     most = F.col("n") * F.col("n") - F.col("chance")
     value = F.when(most == 0, F.lit(degenerate).cast("double")).otherwise(F.try_divide(above, most))
     return one.select(F.col("n").cast("long").alias("n"), F.col("agreed").cast("long").alias("agreed"), F.try_divide("agreed", "n").alias("agreement"), value.alias("kappa"))
+
+
+def stratified_bootstrap(rows: DataFrame, stratum: str, yes: str, weight: str, replicates: int = 10_000, seed: int = 20260730) -> DataFrame:
+    """One row: the weighted rate of ``yes``, and low and high of its 95% percentile interval; none of an empty table.
+
+    Each replicate draws from every stratum as many rows as it has, with replacement, and its estimate is the sum of the weights (one over the
+    inclusion probability) of the drawn rows with ``yes`` over that of all drawn rows. The bounds are the
+    estimates at floor(0.025 (B - 1)) and floor(0.975 (B - 1)) in order. Rows of one stratum, weight and answer are alike, so a replicate draws
+    how many of each such class it gets (multinomial), which has the same distribution as drawing rows. A null answer is a no.
+    The classes go to every task: a few for each stratum if weights belong to strata, at most as many as rows.
+    """
+    if replicates < 1:
+        raise ValueError("replicates is a positive integer")
+    answer = F.coalesce(F.col(yes).cast("boolean"), F.lit(False))
+    counted = rows.groupBy(F.col(stratum).alias("s"), F.col(weight).cast("double").alias("w"), answer.alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    classes = sorted(((r["s"] is not None, str(r["s"])), r["w"], r["y"], r["n"]) for r in counted.collect())
+    strata: dict = {}
+    for s, w, y, n in classes:
+        strata.setdefault(s, []).append((w, y, n))
+    own = [tuple(np.array(x) for x in zip(*group, strict=True)) for group in strata.values()]
+    spark = rows.sparkSession
+    if not own:
+        return spark.createDataFrame([], "rate double, low double, high double, replicates long")
+    rate = float(sum((w * y * n).sum() for w, y, n in own) / sum((w * n).sum() for w, _, n in own))
+    held = spark.sparkContext.broadcast(own)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for b in batch["id"]:
+                rng = np.random.default_rng([seed, int(b)])
+                top = whole = 0.0
+                for w, y, n in held.value:
+                    drawn = w * rng.multinomial(n.sum(), n / n.sum())
+                    top, whole = top + drawn[y].sum(), whole + drawn.sum()
+                out.append(top / whole)
+            yield pd.DataFrame({"estimate": out})
+
+    estimates = spark.range(replicates).mapInPandas(run, "estimate double")
+    # All replicates, a number that the caller sets, are put in order in one array.
+    found = estimates.agg(F.sort_array(F.collect_list("estimate")).alias("e"))
+    at = lambda q: F.col("e")[math.floor(q * (replicates - 1))]
+    return found.select(F.lit(rate).alias("rate"), at(0.025).alias("low"), at(0.975).alias("high"), F.size("e").cast("long").alias("replicates"))

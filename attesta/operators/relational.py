@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.functions import text
 from attesta.session import settle
 
 
@@ -98,3 +99,27 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataF
 
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+
+
+def best_match(candidates: DataFrame, baseline: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """One row per candidate (id, name): id, base, method, score of its baseline entry.
+
+    ``baseline`` has base, name and a unique pos. Names are compared normalised: an equal one wins with score 1, the first in order of
+    pos; else the entry with the greatest Jaccard ratio of words of over one character does, the first of equal ones,
+    if the ratio is at least ``threshold``. Below it base and method are empty and the score is kept; it is 0 where no word is
+    shared or the name is empty. Only pairs that share a word are scored, by an inverted index. Candidates' ids are unique.
+    """
+    names = candidates.select("id", text.normalize_name(F.col("name")).alias("name"), text.token_set(F.col("name")).alias("t"))
+    held = baseline.select("base", "pos", text.normalize_name(F.col("name")).alias("name"), text.token_set(F.col("name")).alias("bt"))
+    same = held.filter("name <> ''").groupBy("name").agg(F.min_by("base", "pos").alias("same"))
+    index = held.select("base", "pos", F.size("bt").alias("nb"), F.explode("bt").alias("w"))
+    words = names.join(same, "name", "left_anti").select("id", F.size("t").alias("n"), F.explode("t").alias("w"))
+    pairs = words.join(index, "w").groupBy("id", "base", "pos", "n", "nb").agg(F.count(F.lit(1)).alias("i"))
+    pairs = pairs.withColumn("score", F.col("i") / (F.col("n") + F.col("nb") - F.col("i")))
+    best = pairs.groupBy("id").agg(F.max_by(F.struct("base", "score"), F.struct("score", -F.col("pos"))).alias("best"))
+    rows = names.select("id", "name").join(same, "name", "left").join(best, "id", "left")
+    score = F.when(F.col("same").isNotNull(), 1.0).otherwise(F.coalesce("best.score", F.lit(0.0)))
+    near = F.col("best.score") >= threshold
+    base = F.when(F.col("same").isNotNull(), F.col("same")).when(near, F.col("best.base")).otherwise("")
+    method = F.when(F.col("same").isNotNull(), "exact_normalized_name").when(near, "token_jaccard_review").otherwise("")
+    return rows.select("id", base.alias("base"), method.alias("method"), score.alias("score"))

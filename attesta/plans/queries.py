@@ -507,6 +507,25 @@ def best_baseline_match(spark, d):
     return best.select("p_partkey", "x.base", "x.score")
 
 
+@query(
+    "baseline_match_all_parts",
+    """
+WITH p AS (SELECT p_partkey, p_brand, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 1)) AS t,
+  trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS name FROM part),
+b AS (SELECT p_brand AS base, min(p_partkey) AS pos, list_sort(list_distinct(flatten(list(t)))) AS bt FROM p GROUP BY 1),
+j AS (SELECT p_partkey, base, pos, array_to_string(bt, ' ') = name AS same, len(list_intersect(t, bt)) / len(list_distinct(list_concat(t, bt))) AS score FROM p CROSS JOIN b),
+k AS (SELECT p_partkey, base, same, CASE WHEN same THEN 1.0::DOUBLE ELSE score END AS score, row_number() OVER (PARTITION BY p_partkey ORDER BY same DESC, score DESC, pos) AS k FROM j)
+SELECT p_partkey, CASE WHEN score >= 0.8 THEN base ELSE '' END AS base, CASE WHEN same THEN 'exact_normalized_name' WHEN score >= 0.8 THEN 'token_jaccard_review' ELSE '' END AS method, score FROM k WHERE k = 1""",
+)
+def baseline_match_all_parts(spark, d):
+    """Each part's name against the words of every brand's parts: exact name first, else the nearest from 0.80 on."""
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_name")
+    words = part.select("p_partkey", "p_brand", F.explode_outer(text.token_set(F.col("p_name"))).alias("w"))
+    base = words.groupBy(F.col("p_brand").alias("base")).agg(F.min("p_partkey").alias("pos"), F.array_join(F.sort_array(F.collect_set("w")), " ").alias("name"))
+    found = R.best_match(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), base, 0.8)
+    return found.select(F.col("id").alias("p_partkey"), "base", "method", "score")
+
+
 @query("blocked_alias_pairs")
 def blocked_alias_pairs(spark, d):
     rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", text.normalize_name(F.col("s_name")).alias("name"))

@@ -141,3 +141,13 @@ def test_contained_at_every_size(spark, monkeypatch, most):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     found = pages.contained(docs, spark.createDataFrame(quotes, "item_id long, quote string"))
     assert sorted(map(tuple, found.collect())) == sorted((k, d) for k, q in quotes if q for d, t in texts if q in (t or ""))
+
+
+def test_best_match(spark):
+    names = [(1, "Acme Steel, Inc."), (2, "red blue green gray extra"), (3, "red blue"), (4, "unknown"), (5, None), (6, ""), (7, "steel acme")]
+    baseline = [("B9", "acme STEEL", 5), ("B1", "Acme-Steel", 3), ("B2", "red blue green gray", 1), ("B3", "gray green blue red", 2), ("B4", "", 0)]
+    frame = spark.createDataFrame(names, "id long, name string")
+    found = {r["id"]: tuple(r)[1:] for r in R.best_match(frame, spark.createDataFrame(baseline, "base string, name string, pos long")).collect()}
+    none = ("", "", 0.0)
+    # an exact name beats order of words; of equal ratios the first; below 0.80 only the score stays
+    assert found == {1: ("B1", "exact_normalized_name", 1.0), 2: ("B2", "token_jaccard_review", 0.8), 3: ("", "", 0.5), 4: none, 5: none, 6: none, 7: ("B1", "token_jaccard_review", 1.0)}
