@@ -343,6 +343,16 @@ def bootstrap_ci(spark, d):
     return ranked.agg(F.min(F.when(F.col("k") == 1, F.col("yes"))).alias("low_yes"), F.min(F.when(F.col("k") == 47, F.col("yes"))).alias("high_yes"), F.min("total").alias("total"))
 
 
+@query("weighted_bootstrap_ci")
+def weighted_bootstrap_ci(spark, d):
+    """The weighted rate of good labels with its interval of 10,000 replicates; a language's weight is its documents over its labels."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    sampled = table(spark, d, "labels").join(docs, "doc_id").select("lang", (F.col("quality") == 1).alias("yes"))
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    weights = sizes.join(sampled.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("n")), F.expr("lang <=> l")).select("l", (F.col("size") / F.col("n")).alias("weight"))
+    return stats.stratified_bootstrap(sampled.join(F.broadcast(weights), F.expr("lang <=> l")), "lang", "yes", "weight", 10_000)
+
+
 # --- sampling -------------------------------------------------------------------------------------
 
 SQL_ALLOCATION = """WITH s AS (SELECT lang || '|' || source AS stratum, count(*) AS size FROM documents GROUP BY 1),

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,25 @@ def test_best_match(spark):
     none = ("", "", 0.0)
     # an exact name beats order of words; of equal ratios the first; below 0.80 only the score stays
     assert found == {1: ("B1", "exact_normalized_name", 1.0), 2: ("B2", "token_jaccard_review", 0.8), 3: ("", "", 0.5), 4: none, 5: none, 6: none, 7: ("B1", "token_jaccard_review", 1.0)}
+
+
+def test_stratified_bootstrap_weighs_strata(spark):
+    strata = {"a": (30.0, 30, 10), "b": (0.5, 300, 290), None: (4.0, 50, 20)}
+    rows = [(s, w, k < yes) for s, (w, n, yes) in strata.items() for k in range(n)] + [("b", 0.5, None)]
+    strata["b"] = (0.5, 301, 290)
+    frame = spark.createDataFrame(rows, "s string, w double, y boolean").repartition(3)
+    found = stats.stratified_bootstrap(frame, "s", "y", "w").first()
+    whole = sum(w * n for w, n, _ in strata.values())
+    rate = sum(w * yes for w, _, yes in strata.values()) / whole
+    spread = sum((w * n / whole) ** 2 * (yes / n) * (1 - yes / n) / n for w, n, yes in strata.values()) ** 0.5
+    assert found["replicates"] == 10_000 and found["rate"] == pytest.approx(rate)
+    assert found["low"] == pytest.approx(rate - 1.96 * spread, abs=0.02) and found["high"] == pytest.approx(rate + 1.96 * spread, abs=0.02)
+    assert stats.stratified_bootstrap(frame, "s", "y", "w").first() == found
+    # weights that differ within a stratum, against drawing row by row
+    rng = np.random.default_rng(5)
+    w, y = np.array([1.0] * 20 + [9.0] * 20), np.array([True, False] * 10 + [True] * 15 + [False] * 5)
+    drawn = rng.integers(0, 40, (4000, 40))
+    brute = np.sort((w[drawn] * y[drawn]).sum(1) / w[drawn].sum(1))
+    other = stats.stratified_bootstrap(spark.createDataFrame([("x", float(a), bool(b)) for a, b in zip(w, y, strict=True)], "s string, w double, y boolean"), "s", "y", "w", 4000).first()
+    assert other["low"] == pytest.approx(brute[99], abs=0.02) and other["high"] == pytest.approx(brute[3899], abs=0.02)
+    assert stats.stratified_bootstrap(frame.limit(0), "s", "y", "w").count() == 0
