@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A set of ids up to this count may be broadcast (8 bytes each, so 32 MB); larger sets are joined by shuffling.
-BROADCAST_IDS = 4_000_000
+#: Rows of one or two longs up to this count may be broadcast (hashed, some 30 MB); larger sets are joined by shuffling.
+BROADCAST_IDS = 500_000
+#: Bytes of texts in a batch sent to Python.
+BATCH_BYTES = 16 << 20
+_left: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,11 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, with at most ``rows`` rows in a batch sent to Python: whole texts are large, and a worker's memory is not."""
+    """``df``, with bounded rows and bytes in a batch sent to Python: whole texts are large, and a worker's memory is not.
+
+    The two settings belong to the session: Spark has none for a single DataFrame.
+    """
     conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(conf.get(key).rstrip("b")) <= most:
+            conf.set(key, str(most))
     return df
 
 
@@ -39,11 +46,56 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage without tying the rows to any executor; a lost executor
-    costs nothing but its running tasks.
+    costs nothing but its running tasks. ``drop`` deletes the table; what is left goes when the driver ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/attesta-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/attesta-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _left[path] = spark
+    found = spark.read.schema(df.schema).parquet(path)
+    found.cut_path = path
+    return found
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more."""
+    for table in tables:
+        _delete(table.cut_path)
+
+
+def _delete(path: str) -> None:
+    spark = _left.pop(path, None)
+    if spark is not None:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _delete_left() -> None:
+    for path in list(_left):
+        try:
+            _delete(path)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            _left.pop(path, None)
+
+
+def shield(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with every column under a working name that clashes with none, and these names by column."""
+    every = {c: f"__in{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in every.items()]), every
+
+
+def unshield(found: DataFrame, names: dict[str, str], out: list[str]) -> DataFrame:
+    """The input's columns under their own names, but for those that ``out`` replaces, and the columns ``out``."""
+    return found.select(*[F.col(n).alias(c) for c, n in names.items() if c not in out], *out)
+
+
+def given_name(id_col: str, out: list[str]) -> str:
+    """The name under which ids are given back: ``id_col``, or with ``_in`` after it where an output column has that name."""
+    while id_col in out:
+        id_col += "_in"
+    return id_col
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut
+from attesta.llm.common import cut, drop
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
         nearer = labels.join(heard, labels["v"] == heard["a"]).select("v", "label", F.least("label", "heard").alias("next"))
         jump = labels.select(F.col("v").alias("next"), F.col("label").alias("far"))
         found = cut(nearer.join(jump, "next", "left").select("v", F.least("next", F.coalesce("far", "next")).alias("new"), "label"), "labels")
+        drop(labels)
         labels = found.select("v", F.col("new").alias("label"))
+        labels.cut_path = found.cut_path
         if found.filter("new <> label").limit(1).count() == 0:
+            drop(both)
             return labels

@@ -5,44 +5,55 @@ Documents are sets of five-word shingles and link at a Jaccard similarity of 0.8
 * Equal sets are one class; one representative goes on.
 * Shingles are put in one order for all documents: by hash, with the most frequent ones (a
   bounded Misra-Gries summary over all shingles) last. Linked sets share a shingle among the first ``n - ceil(0.8 n) + 1`` of either
-  one, and ``l`` of them among the first ``n - ceil(0.8 n) + l``.
-* Light sets (up to ``boundary`` shingles) enumerate the 2-subsets of their prefix for ``l = 2``: a shared subset is a candidate.
-* Heavy sets are found by scanning the inverted lists of their prefix and counting: a pair that shares fewer than ``l`` is
-  no candidate. Sets from four fifths of the boundary are in these lists too, so pairs across it are found.
+  one, and two of them among the first ``n - ceil(0.8 n) + 2``.
+* Light sets (up to ``boundary`` shingles) enumerate the 2-subsets of their prefix: a shared subset is a candidate.
+* Heavy sets are found by scanning the inverted lists of their prefix. Sets from four fifths of the boundary are in these lists
+  too, so pairs across it are found.
 * The boundary is where the estimated records of both sides together are fewest.
-* Candidates are compared exactly, on the words of their texts.
+* Candidates are compared on the shingles of their whole texts.
 
-A first pass links each representative to one pivot for each of its least shingles: the holder whose least shingles are
-the most common, so the likely centre of a group. That settles large groups of near copies with linearly many comparisons; the lists
-then give only pairs from different groups, so no group is expanded into all its pairs, and every link between two different groups
-is still found. Each set carries a bitmap in which every shingle toggles one bit: two bitmaps differ in at most as many bits as the
+Lists are worked through in rounds, and documents already joined are one component from then on. In a round each list (of a
+subset or a shingle) whose members belong to different components names one pivot, and the members outside the pivot's
+component are compared with it: linear in the list, however long. The first round's pivots are the members whose lists are the longest, so the likely
+centres of groups; later ones are drawn by hash, another one for each list. What the rounds leave in different components is then compared pair by
+pair within the lists, so that every link between two components is found and no group meets itself again.
+
+Each set carries a bitmap in which every shingle toggles one bit: two bitmaps differ in at most as many bits as the
 sets in shingles, so pairs whose bitmaps differ in more than links allow are never made. Large sets would fill such a bitmap, so
 they are cut into parts by hash: if two sets link, then in some part the shares of both do too, since the ratio of two sums is at
-most the largest ratio of their terms. Parts are listed, counted and compared by bitmap like sets of their own.
+most the largest ratio of their terms. Parts are listed and compared by bitmap like sets of their own.
+
+Shingles are 64-bit hashes: two different ones are taken for equal with a chance of one in 2**64.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import BROADCAST_IDS, cut, keep_ids, small_batches
+from attesta.llm.common import BROADCAST_IDS, cut, drop, keep_ids, small_batches
 from attesta.llm.components import components
-from attesta.llm.shingles import exact_set, mix, shingle_sets
+from attesta.llm.shingles import mix, shingle_sets
 
 NO_ID = -(2**63)
-LEAST = 16
 #: Longs of the bitmap in which each shingle of a set toggles one bit.
 BITS = 8
 #: Sets above this size are never light, so the size histogram is bounded.
 MOST_LIGHT = 200
 #: Sets of this size are cut into 4 parts, those of 4 times the size into 16, and so on.
 CUT = 512
+#: Cost of one comparison within a list, in records written and shuffled; a posting meets this many others at most, as rounds are linear.
+COMPARE, MET = 1 / 32, 64
+#: Lists of a shingle that the summary counts more often are counted in parts of about this many rows.
+HOT = 1000
+#: Pivots that a document is compared with in a round, those that share the most lists with it.
+PIVOTS = 4
 
 
 def needed(n):
@@ -50,11 +61,6 @@ def needed(n):
     return -(-4 * n // 5)
 
 
-def counted(n):
-    """Shared prefix shingles asked of a pair, from the size of the smaller demand."""
-    return 1 + n // 20
-
-
 def _texts(batch: pd.Series) -> list[bytes]:
     return [bytes(x) for x in batch]
 
@@ -98,8 +104,13 @@ def may_link(a: str, b: str, n: str, m: str) -> str:
 
 
 def sketch(docs: DataFrame, counters: int) -> DataFrame:
-    """Rows of kind 0: id, n, digest of the set, its least hashes; of kind 1: frequent shingles of a task and their counts."""
-    columns = ["kind", "id", "n", "d1", "d2", "least", "bits", "token", "times"]
+    """Rows of kind 0: id, n, digest and bitmap of the set; of kind 1: frequent shingles of a task and their counts; of kind 2: counts of
+    one shingle in 256, for the cost of scanning lists."""
+    columns = ["kind", "id", "n", "d1", "d2", "bits", "token", "times"]
+
+    def counts(kind: int, tokens: np.ndarray, times: np.ndarray) -> pd.DataFrame:
+        none = pd.Series([[]] * len(tokens), dtype=object)
+        return pd.DataFrame({"kind": kind, "id": 0, "n": 0, "d1": 0, "d2": 0, "bits": none, "token": tokens.view(np.int64), "times": times}, columns=columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -109,55 +120,63 @@ def sketch(docs: DataFrame, counters: int) -> DataFrame:
             rows = []
             for key, own in zip(batch["id"], shingle_sets(_texts(batch["text"])), strict=True):
                 digest = xxhash.xxh3_128_intdigest(own.tobytes())
-                rows.append((0, key, len(own), (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, own[:LEAST].view(np.int64), bitmaps(own)[0], 0, 0))
+                rows.append((0, key, len(own), (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, bitmaps(own)[0], 0, 0))
                 waiting.append(own)
                 size += len(own)
                 if size > 1_000_000:
-                    kept = _trim(np.concatenate(waiting), kept, counters)
+                    tokens = np.concatenate(waiting)
+                    yield counts(2, *np.unique(tokens[tokens & np.uint64(255) == 0], return_counts=True))
+                    kept = _trim(tokens, kept, counters)
                     waiting, size = [], 0
             yield pd.DataFrame(rows, columns=columns)
         if size:
-            kept = _trim(np.concatenate(waiting), kept, counters)
+            tokens = np.concatenate(waiting)
+            yield counts(2, *np.unique(tokens[tokens & np.uint64(255) == 0], return_counts=True))
+            kept = _trim(tokens, kept, counters)
         often = kept[1] > 1
-        none = pd.Series([[]] * int(often.sum()), dtype=object)
-        yield pd.DataFrame({"kind": 1, "id": 0, "n": 0, "d1": 0, "d2": 0, "least": none, "bits": none, "token": kept[0][often].view(np.int64), "times": kept[1][often]}, columns=columns)
+        yield counts(1, kept[0][often], kept[1][often])
 
-    return docs.mapInPandas(run, "kind int, id long, n long, d1 long, d2 long, least array<long>, bits array<long>, token long, times long")
+    return docs.mapInPandas(run, "kind int, id long, n long, d1 long, d2 long, bits array<long>, token long, times long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts link, compared word by word."""
-    pairs = cut(pairs, "pairs")
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    texts = cut(keep_ids(docs, ids, "id"), "texts")
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    """The distinct pairs (a, b) whose texts link. ``a`` may be in very many pairs.
+
+    A few pairs are broadcast to the texts, more are joined by shuffling; texts of ``a`` travel once and meet their pairs by a join that splits
+    skewed keys.
+    """
+    pairs = cut(pairs.select("a", "b").distinct(), "pairs")
+    few = pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    right = docs.select(F.col("id").alias("b"), F.col("text").alias("tb")).join(F.broadcast(pairs) if few else pairs, "b")
+    left = keep_ids(docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), pairs.select("a").distinct(), "a")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, own = None, set()
         for batch in batches:
+            texts = list({bytes(x): None for x in (*batch["ta"], *batch["tb"])})
+            sets = dict(zip(texts, shingle_sets(texts), strict=True))
             linked = []
             for ta, tb in zip(batch["ta"], batch["tb"], strict=True):
-                if ta != last:
-                    last, own = ta, exact_set(bytes(ta))
-                other = exact_set(bytes(tb))
-                both = len(own & other)
-                linked.append(5 * both >= 4 * (len(own) + len(other) - both))
+                own, other = sets[bytes(ta)], sets[bytes(tb)]
+                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                both = np.count_nonzero(own[at] == other) if len(own) else 0
+                linked.append(5 * both >= 4 * (len(own) + len(other) - both) > 0)
             yield batch.loc[np.array(linked, bool), ["a", "b"]]
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return cut(joined.mapInPandas(compare, "a long, b long").distinct(), "links")
+    joined = right.join(left, "a").select("a", "b", "ta", "tb")
+    links = cut(joined.mapInPandas(compare, "a long, b long").distinct(), "links")
+    drop(pairs)
+    return links
 
 
 def choose_boundary(sizes: dict[int, int], scanned: float) -> int:
-    """The set size up to which 2-subsets cost fewer records than scanned lists."""
+    """The set size up to which 2-subsets cost fewer records than scanned lists, whose postings cost ``1 + scanned`` each."""
 
     def light(n: int) -> float:
         p = min(n, n - needed(n) + 2)
         return p * (p - 1) / 2
 
     def heavy(n: int) -> float:
-        return (n - needed(n) + counted(n)) * (1 + scanned)
+        return (n - needed(n) + 1) * (1 + scanned)
 
     def cost(x: int) -> float:
         return sum(c * (light(n) * (n <= x) + heavy(n) * (5 * n > 4 * x)) for n, c in sizes.items())
@@ -165,64 +184,127 @@ def choose_boundary(sizes: dict[int, int], scanned: float) -> int:
     return min(range(1, MOST_LIGHT + 1), key=lambda x: (cost(x), x))
 
 
-def postings(docs: DataFrame, heavy: np.ndarray, times: np.ndarray, boundary: int) -> DataFrame:
-    """(level, token, id, comp): the subset keys of light sets (level -1) and the prefix shingles of the parts of heavy ones.
+def _ordered(own: np.ndarray, often: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set in the common order, and the summary's counts of its shingles."""
+    if not len(often):
+        return own, np.zeros(len(own), np.int64)
+    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+    rank = np.where(often[at] == own, times[at], 0)
+    order = np.lexsort((own, rank)) if rank.any() else np.arange(len(own))
+    return own[order], rank[order]
+
 
-    The low bits of a shingle tell its part. Rows without ``token`` tell ``n``, ``size`` and ``bits`` of each ``part``, which is
-    4 ** level plus its number.
+def _parts(own: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each shingle, told by its low bits, and the parts' sizes."""
+    part = (own & np.uint64(4**level - 1)).astype(np.int64)
+    return part, np.bincount(part, minlength=4**level)
+
+
+def postings(docs: DataFrame, held, boundary: int) -> DataFrame:
+    """(token, part, id, times): the subset keys of light sets (part 0) and the prefix shingles of the parts of heavy ones.
+
+    ``part`` is 4 ** level plus the part's number; ``times`` is the summary's count, 0 where it has none.
     """
-    held = docs.sparkSession.sparkContext.broadcast((heavy, times))  # at most the summary's counters
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often, frequency = held.value
+        out: list[tuple] = []
+        size = 0
         for batch in batches:
-            out: list[tuple] = []
-            marks: list[tuple] = []
-            size = 0
-            for key, comp, own in zip(batch["id"], batch["comp"], shingle_sets(_texts(batch["text"])), strict=True):
+            for key, own in zip(batch["id"], shingle_sets(_texts(batch["text"])), strict=True):
                 n = len(own)
                 if n < 2:
                     continue
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-                    rank = np.where(often[at] == own, frequency[at], 0)
-                    if rank.any():
-                        own = own[np.lexsort((own, rank))]
+                own, rank = _ordered(own, *held.value)
                 if n <= boundary:
                     p = own[: n - needed(n) + 2]
                     i, j = np.triu_indices(len(p), 1)
                     lo, hi = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
-                    out.append((-1, mix(lo * np.uint64(0x9E3779B97F4A7C15) + hi), key, comp))
+                    out.append((mix(lo * np.uint64(0x9E3779B97F4A7C15) + hi), np.zeros(len(i), np.int64), key, np.minimum(rank[i], rank[j])))
                     size += len(i)
-                    if 5 * n <= 4 * boundary:
-                        marks.append((key, n, np.array([1]), np.array([n]), bitmaps(own)))
                 if 5 * n > 4 * boundary:
                     for level in levels(n):
-                        parts = 4**level
-                        part = (own & np.uint64(parts - 1)).astype(np.int64)
-                        sizes = np.bincount(part, minlength=parts)
+                        part, sizes = _parts(own, level)
                         by_part = np.argsort(part, kind="stable")
                         place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                        first = by_part[place < np.repeat(sizes - needed(sizes) + counted(sizes), sizes)]
-                        out.append((level, own[first], key, comp))
-                        marks.append((key, n, parts + np.arange(parts), sizes, bitmaps(own, part, parts)))
+                        first = by_part[place < np.repeat(sizes - needed(sizes) + 1, sizes)]
+                        out.append((own[first], 4**level + part[first], key, rank[first]))
                         size += len(first)
                 if size > 200_000:
-                    yield table(out, marks)
-                    out, marks, size = [], [], 0
-            yield table(out, marks)
+                    yield table(out)
+                    out, size = [], 0
+        yield table(out)
+
+    def table(out: list[tuple]) -> pd.DataFrame:
+        joined = lambda k: np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64)
+        ids = np.repeat(np.array([x[2] for x in out], np.int64), [len(x[0]) for x in out]) if out else np.zeros(0, np.int64)
+        return pd.DataFrame({"token": joined(0).view(np.int64), "part": joined(1), "id": ids, "times": joined(3)})
+
+    return docs.mapInPandas(run, "token long, part long, id long, times long")
+
 
-    def table(out: list[tuple], marks: list[tuple]) -> pd.DataFrame:
-        joined = lambda rows, k: np.concatenate([row[k] for row in rows]) if rows else np.zeros(0, np.int64)
-        spread = lambda rows, k, by: np.repeat(np.array([row[k] for row in rows], np.int64), [len(row[by]) for row in rows])
-        bits = pd.Series([b for row in marks for b in row[4]], dtype=object)
-        whole = pd.Series(joined(out, 1).view(np.int64), dtype="Int64")
-        lists = pd.DataFrame({"level": spread(out, 0, 1), "token": whole, "id": spread(out, 2, 1), "comp": spread(out, 3, 1), "n": 0, "part": 0, "size": 0, "bits": None})
-        none = pd.Series([pd.NA] * len(bits), dtype="Int64")
-        sized = pd.DataFrame({"level": 0, "token": none, "id": spread(marks, 0, 2), "comp": 0, "n": spread(marks, 1, 2), "part": joined(marks, 2), "size": joined(marks, 3), "bits": bits})
-        return pd.concat([x for x in (lists, sized) if len(x)] or [lists])
+def marks(docs: DataFrame, boundary: int) -> DataFrame:
+    """(id, part, from_n, n, size, bits) of the parts with shingles of each set, as ``postings`` numbers them.
 
-    return docs.mapInPandas(run, "level int, token long, id long, comp long, n long, part long, size long, bits array<long>")
+    ``from_n`` is the least size of the larger set of a pair that meets at the part's level.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, own in zip(batch["id"], shingle_sets(_texts(batch["text"])), strict=True):
+                n = len(own)
+                if n <= boundary:
+                    rows.append((key, 0, 0, n, n, bitmaps(own)[0]))
+                if 5 * n > 4 * boundary:
+                    for level in levels(n):
+                        part, sizes = _parts(own, level)
+                        bits = bitmaps(own, part, 4**level)
+                        rows += [(key, 4**level + k, CUT * 4 ** (level - 1) if level else 0, n, int(sizes[k]), bits[k]) for k in np.flatnonzero(sizes).tolist()]
+            yield pd.DataFrame(rows, columns=["id", "part", "from_n", "n", "size", "bits"])
+
+    return docs.mapInPandas(run, "id long, part long, from_n long, n long, size long, bits array<long>")
+
+
+def mixed_lists(shared: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``shared`` with ``comp``, and the lists (token, part) whose members belong to different components."""
+    own = with_labels(shared, labels) if labels is not None else shared.withColumn("comp", F.col("id"))
+    mixed = own.groupBy("token", "part").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).filter("__lo < __hi").select("token", "part")
+    return own, mixed
+
+
+def pivot_round(shared: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, turn: int) -> DataFrame:
+    """Links (a, b) between each list's pivot and its members outside the pivot's component."""
+    own, mixed = mixed_lists(shared, labels)
+    if turn == 0:
+        score = shared.groupBy("id").agg(F.sum(F.log2("c")).alias("score"))
+        rated = own.join(score, "id").withColumn("rate", F.struct("score", -F.col("id")))
+    else:
+        rated = own.withColumn("rate", F.struct(F.xxhash64("id", "token", F.lit(turn)), F.col("id")))
+    pivots = rated.groupBy("token", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("rate", "id", "comp")).alias("top"))
+    pivots = pivots.filter("lo < hi").select("token", "part", F.col("top.id").alias("pivot"), F.col("top.comp").alias("pivot_comp"))
+    met = own.join(pivots, ["token", "part"]).filter("comp <> pivot_comp").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("met"))
+    mine = classes.select("id", "n", "bits")
+    theirs = classes.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("bits").alias("p"))
+    met = met.join(mine, "id").join(theirs, "pivot").filter(may_link("bits", "p", "n", "m"))
+    best = Window.partitionBy("id").orderBy(F.desc("met"), "pivot")  # a document's pivots: no more than its lists
+    chosen = met.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PIVOTS)
+    return verify(chosen.select(F.col("pivot").alias("a"), F.col("id").alias("b")), docs)
+
+
+def left_pairs(shared: DataFrame, labels: DataFrame, docs: DataFrame, boundary: int) -> DataFrame:
+    """All pairs (a, b) within a list, of different components, whose sizes and bitmaps allow a link."""
+    own, mixed = mixed_lists(shared, labels)
+    own = cut(own.join(mixed, ["token", "part"]).select("token", "part", "id", "comp"), "mixed")
+    marked = marks(keep_ids(docs, own.select("id").distinct(), "id"), boundary)
+    lists = cut(own.join(marked, ["id", "part"]), "lists")
+    side = lambda x: lists.select("token", "part", *["from_n"][: x == "a"], F.col("id").alias(x), F.col("comp").alias("c" + x), F.col("n").alias("n" + x), F.col("size").alias("s" + x), F.col("bits").alias("b" + x))
+    # A pair meets at the level of its larger set, two light sets by their subsets only.
+    near = F.expr(f"ca < cb and 5 * least(na, nb) >= 4 * greatest(na, nb) and greatest(na, nb) >= from_n and {may_link('ba', 'bb', 'sa', 'sb')}")
+    near = near & ((F.col("part") == 0) | (F.greatest("na", "nb") > boundary))
+    pairs = side("a").join(side("b"), ["token", "part"]).filter(near).select("a", "b")
+    pairs = cut(pairs.distinct(), "left-pairs")
+    drop(own, lists)
+    return pairs
 
 
 def with_labels(rows: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
@@ -233,67 +315,72 @@ def with_labels(rows: DataFrame, labels: DataFrame, key: str = "id") -> DataFram
     return rows.join(named, key, "left").withColumn("comp", F.coalesce("__label", key)).drop("__label")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 200_000, frequent: int = 200_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 200_000, frequent: int = 200_000, rounds: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Texts are lower-cased (A-Z), split at ASCII white space, and linked as the module says; ``component_id`` is the least id
     reachable. A text with one to four words has one shingle, all of it; a null, empty or blank text has none and is linked with
-    nothing. A null id counts as the least of all and is given back as null. Rows that share an id are one document of the graph.
-    Other columns are ignored. An empty table gives an empty result.
+    nothing. Very long texts are hashed in chunks and listed in parts, whole. Ties (equal similarity) all link. A null id counts as the least of
+    all and is given back as null. Rows that share an id are one document of the graph: what links to either row links to both.
+    Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     docs = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    spark = docs.sparkSession
     sketches = cut(sketch(docs, counters), "sketches")
-    rows = sketches.filter("kind = 0").select("id", "n", "d1", "d2", "least", "bits")
+    rows = sketches.filter("kind = 0").select("id", "n", "d1", "d2", "bits")
     often = sketches.filter("kind = 1").groupBy("token").agg(F.sum("times").alias("times")).filter("times > 8")
     often = sorted((np.uint64(r["token"] & (2**64 - 1)), r["times"]) for r in often.orderBy(F.desc("times"), "token").limit(frequent).collect())
-    heavy, times = np.array([t for t, _ in often], np.uint64), np.array([c for _, c in often], np.int64)
-
-    classes = cut(rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "least", "bits")).alias("first")).select("n", "d1", "d2", "first.*"), "classes")
-    copies = cut(rows.filter("n > 0").select("id").distinct().join(classes.select("id"), "id", "left_anti"), "copies")
-
-    least = cut(classes.select("id", "n", F.explode("least").alias("token")), "least")
-    held = cut(least.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "held")
-    scanned = held.filter("c <= 100").agg(F.sum((F.col("c") - 1) * F.col("c"))).first()[0] or 0
-    scanned = scanned / max(1, least.count())
-    shared = cut(least.join(held, "token"), "shared")
-    central = shared.groupBy("id").agg(F.sum(F.log2("c")).alias("score"))
-    central = shared.select("token", "id").join(central, "id")
-    pivots = central.groupBy("token").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("pivot"))
-    met = shared.join(pivots, "token").filter("id <> pivot").groupBy("id", "pivot", "n").agg(F.count(F.lit(1)).alias("met"))
-    met = met.filter(2 * F.col("met") >= F.least(F.lit(LEAST), F.col("n")))
-    marks = classes.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("bits").alias("p"))
-    met = met.join(classes.select("id", "bits"), "id").join(marks, "pivot").filter(may_link("bits", "p", "n", "m"))
-    links = verify(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")), docs)
-    labels = components(links)
+    held = spark.sparkContext.broadcast((np.array([t for t, _ in often], np.uint64), np.array([c for _, c in often], np.int64)))  # at most `frequent`
+    cost = sketches.filter("kind = 2").groupBy("token").agg(F.sum("times").alias("c")).agg(F.sum(F.col("c") * F.least(F.col("c") - 1, F.lit(MET))), F.sum("c")).first()
+    scanned = COMPARE * (cost[0] or 0) / (cost[1] or 1)
+
+    classes = cut(rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "bits")).alias("first")).select("n", "d1", "d2", "first.*"), "classes")
+    first = classes.select("n", "d1", "d2", F.col("id").alias("first"))
+    placed = cut(rows.select("id", "n", "d1", "d2").join(first, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("first", "id").alias("first")), "placed")
+    # An id with rows in different classes is one vertex: its rows' representatives are linked.
+    twice = cut(placed.groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.count_distinct("first").alias("k")).filter("k > 1").select("id"), "twice")
+    links = [placed.join(twice, "id").select(F.col("first").alias("a"), F.col("id").alias("b")).filter("a <> b")]
+    copies = cut(placed.filter("id <> first").join(twice, "id", "left_anti").select("id").distinct(), "copies")
 
     sizes = {r["s"]: r["c"] for r in classes.filter(f"n <= {MOST_LIGHT}").groupBy(F.col("n").alias("s")).agg(F.count(F.lit(1)).alias("c")).collect()}
     boundary = choose_boundary(sizes, scanned)
-    own = with_labels(keep_ids(docs, copies, "id", "left_anti"), labels)
-    listed = cut(postings(own, heavy, times, boundary), "postings")
-    marks = listed.filter("token is null and size > 0").select("id", "part", "n", "size", "bits")
-    lists = listed.filter("token is not null").select("level", "token", "id", "comp")
-    mixed = lists.groupBy("level", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("level", "token")
-    part = F.expr("case when level < 1 then 1L else shiftleft(1L, 2 * level) + (token & (shiftleft(1L, 2 * level) - 1)) end")
-    lists = cut(lists.join(mixed, ["level", "token"]).withColumn("part", part).join(marks, ["id", "part"]), "mixed-lists")
-    left = lists.select("level", "token", "part", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("size").alias("sa"), F.col("bits").alias("ba"))
-    right = lists.select("level", "token", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("size").alias("sb"), F.col("bits").alias("bb"))
-    own_level = f"level < 1 or greatest(na, nb) >= {CUT} * shiftleft(1L, 2 * level - 2)"
-    near = F.expr(f"ca < cb and 5 * least(na, nb) >= 4 * greatest(na, nb) and ({own_level}) and {may_link('ba', 'bb', 'sa', 'sb')}")
-    near = near & ((F.col("level") < 0) | (F.greatest("na", "nb") > boundary))
-    met = left.join(right, ["level", "token"]).filter(near).groupBy("a", "b", "level", "part", "sa", "sb").agg(F.count(F.lit(1)).alias("met"))
-    pairs = met.filter("level < 0 or met >= 1 + least(sa, sb) div 20").select("a", "b").distinct()
-    links = cut(links.union(verify(pairs, docs)), "links")
-    labels = components(links)
-
-    first = classes.select("n", "d1", "d2", F.col("id").alias("first"))
-    found = rows.join(first, ["n", "d1", "d2"], "left").withColumn("first", F.coalesce("first", "id"))
-    found = found.join(labels.select(F.col("v").alias("first"), "label"), "first", "left")
+    own = keep_ids(docs, copies, "id", "left_anti")
+    listed = postings(own, held, boundary)
+    # Each list is counted in one task, but one of a frequent shingle, which is shared for sure, in salted parts; the others
+    # are short, as the summary's error bounds them.
+    salt = F.pmod(F.xxhash64("id"), 1 + F.expr(f"times div {HOT}"))
+    in_list = F.count(F.lit(1)).over(Window.partitionBy("token", "part", "salt"))
+    counted = listed.withColumn("salt", salt).withColumn("c", F.greatest(in_list, "times")).filter("c > 1")
+    shared = cut(counted.select("token", "part", "id", "c"), "shared")
+
+    labels, made = None, []
+    for turn in range(rounds):
+        found = pivot_round(shared, labels, classes, own, turn)
+        made.append(found)
+        if turn and found.limit(1).count() == 0:
+            break
+        links.append(found)
+        labels = components(reduce(DataFrame.union, links))
+    pairs = left_pairs(shared, labels, own, boundary)
+    found = verify(pairs, own)
+    if found.limit(1).count():
+        labels = components(reduce(DataFrame.union, [*links, found]))
+    drop(shared, pairs, found, *made, sketches, classes, copies, twice)
+    rows = placed.join(labels.select(F.col("v").alias("first"), "label"), "first", "left")
     null = lambda c: F.when(c != NO_ID, c)
-    return found.select(null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("label", "first")).alias("component_id"))
+    return rows.select(null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("label", "first")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group of near copies."""
-    gone = jaccard_components(docs, id_col, text_col).filter("not (component_id <=> doc_id)")
-    gone = cut(gone.select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
-    return keep_ids(docs, gone, id_col, "left_anti")
+    """Of each group of near copies the row with the least id, with all its columns; of rows that share that id one stays, any of them.
+
+    A null id counts as the least. Rows without words are near copies of none, but one of each id.
+    """
+    own = docs.withColumn("__key", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)))
+    found = cut(jaccard_components(docs, id_col, text_col), "components")
+    gone = found.filter("not (component_id <=> doc_id)").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__key")).distinct()
+    stay = keep_ids(own, cut(gone, "near-copies"), "__key", "left_anti")
+    again = cut(found.groupBy("doc_id").count().filter("count > 1").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__key")), "repeated-ids")
+    if again.limit(1).count():
+        stay = keep_ids(stay, again, "__key", "left_anti").unionByName(keep_ids(stay, again, "__key").dropDuplicates(["__key"]))
+    return stay.select(*docs.columns)
