@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut
+from attesta.llm.common import BROADCAST_IDS, cut, shield
 
 
 def merge_summary(kept: dict, more: dict, counters: int) -> dict:
@@ -42,18 +42,19 @@ def heavy_digests(digests: DataFrame, counters: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
-    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when identical; null counts as empty, so nulls and empty texts form one
+    Texts are equal when identical, however long; null counts as empty, so nulls and empty texts form one
     group. The row with the largest id stays, one with a null id only where all ids of the group
-    are null. Rows that repeat both the id and the text that stay are one document and are
-    all marked kept.
-    An empty table gives an empty result; other columns are ignored.
+    are null. Of rows that repeat both the id and the text that stay, one is marked kept, any of them.
+    An empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    # The number of a row is fixed by writing it; it tells apart rows that repeat each other.
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
     heavy = F.broadcast(heavy_digests(rows, counters))
-    totals = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    totals = [F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size")]
     winners = F.broadcast(cut(rows.join(heavy, "digest").groupBy("digest").agg(*totals).filter("group_size > 1"), "winners"))
     settled = rows.join(winners, "digest")
     rest = rows.join(winners.select("digest"), "digest", "left_anti")
@@ -61,22 +62,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = settled.unionByName(others)
     return found.select(
         "doc_id",
-        "keep_id",
+        F.col("top.doc_id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
-        F.expr("doc_id <=> keep_id").alias("kept"),
+        (F.col("row") == F.col("top.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024, most_broadcast: int = 500_000) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
 
     The dropped (id, digest) keys are broadcast while they are counted to be at most
-    ``most_broadcast`` (some 30 MB), and joined by shuffling beyond that.
+    ``BROADCAST_IDS`` (some 30 MB), and joined by shuffling beyond that. Where rows repeat the id and the text that stay, one of them stays.
     """
-    gone = exact_dedup(docs, id_col, text_col, counters).filter("not kept")
-    gone = cut(gone.select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha")).distinct(), "dropped")
-    if gone.limit(most_broadcast + 1).count() <= most_broadcast:
-        gone = F.broadcast(gone)
-    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__sha")), "left_anti")
+    found = cut(exact_dedup(docs, id_col, text_col, counters), "copies")
+    key = [F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha")]
+    gone = cut(found.filter("not kept and not (doc_id <=> keep_id)").select(*key).distinct(), "dropped")
+    again = cut(found.filter("not kept and doc_id <=> keep_id").select(*key).distinct(), "repeated")
+    few = lambda keys: F.broadcast(keys) if keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else keys
+    own, names = shield(docs)
+    own = own.withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col(names[text_col]).cast("string"), F.lit("")), 256)))
+    same = F.col(names[id_col]).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
+    stay = own.join(few(gone), same, "left_anti")
+    if again.limit(1).count():
+        repeated = few(again)
+        one = stay.join(repeated, same, "left_semi").dropDuplicates([names[id_col], "__digest"])
+        stay = stay.join(repeated, same, "left_anti").unionByName(one)
+    return stay.select(*[F.col(n).alias(c) for c, n in names.items()])
