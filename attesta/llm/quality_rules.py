@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import small_batches
+from attesta.llm.common import shield, small_batches, unshield
 
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -101,15 +101,8 @@ _OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 _KINDS = ["long"] * 5 + ["boolean"] * 2 + ["long"] * 3 + ["string"]
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", lost_percent: int = 30) -> DataFrame:
-    """All rows and columns of ``docs`` with the measures, the verdict and the cleaned text.
-
-    Words are runs outside space, tab, newline, vertical tab, form feed and return. ``kept`` is false if the base measures fail
-    (fewer than 10 words, or over a fifth of them in repeated 5-word windows) or if the removed lines hold over
-    ``lost_percent`` of the characters in words. Removed lines fail a line rule or repeat an earlier line of over three words.
-    A null or empty text has no word and fails; its clean text is empty. Every row is judged by itself, so repeated rows
-    agree. Input columns named as the output ones are replaced; an empty table gives an empty result.
-    """
+def _judged(docs: DataFrame, text_col: str, lost_percent: int) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under working names with ``__judged``, and the names."""
     schema = ", ".join(f"{name} {kind}" for name, kind in zip(_OUT, _KINDS, strict=True))
 
     @F.pandas_udf(schema)
@@ -117,16 +110,34 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lost_percent: int = 3
         for batch in texts:
             yield pd.DataFrame([measure(bytes(x), lost_percent) for x in batch], columns=_OUT)
 
-    docs = small_batches(docs).drop(*_OUT)
-    judged = docs.withColumn("__judged", judge(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    return judged.select(*docs.columns, *[F.col(f"__judged.{name}").alias(name) for name in _OUT])
+    own, columns = shield(small_batches(docs))
+    found = own.withColumn("__judged", judge(F.coalesce(F.col(columns[text_col]), F.lit("")).cast("binary")))
+    return found, columns
+
+
+def quality_rules(docs: DataFrame, text_col: str = "text", lost_percent: int = 30) -> DataFrame:
+    """All rows and columns of ``docs`` with the measures, the verdict and the cleaned text.
+
+    Words are runs outside space, tab, newline, vertical tab, form feed and return. ``kept`` is false if the base measures fail
+    (fewer than 10 words, or over a fifth of them in repeated 5-word windows) or if the removed lines hold over
+    ``lost_percent`` of the characters in words; at the limit itself a text is kept. Removed lines fail a line rule or repeat an earlier line of over three words.
+    A null or empty text has no word and fails; its clean text is empty. Texts of any length are judged whole. Every row is judged by itself, so repeated rows
+    and rows that share an id agree. Input columns named as the output ones may hold the text and are replaced; an empty table gives an empty result.
+    """
+    found, columns = _judged(docs, text_col, lost_percent)
+    for name in _OUT:
+        found = found.withColumn(name, F.col(f"__judged.{name}"))
+    return unshield(found, columns, _OUT)
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", lost_percent: int = 30) -> DataFrame:
-    """The kept rows with the cleaned text in place of the text, and its length in ``chars_col`` if there is one."""
-    judged = quality_rules(docs, text_col, lost_percent).filter("kept")
-    cells = {c: F.col(c) for c in docs.columns}
-    cells[text_col] = F.col("clean_text")
+    """The kept rows with the cleaned text in place of the text, and its length in ``chars_col`` if there is one.
+
+    All other columns stay as they are, also those named as the measures.
+    """
+    found, columns = _judged(docs, text_col, lost_percent)
+    cells = {c: F.col(n) for c, n in columns.items()}
+    cells[text_col] = F.col("__judged.clean_text")
     if chars_col in cells:
-        cells[chars_col] = F.char_length("clean_text").cast(dict(docs.dtypes)[chars_col])
-    return judged.select(*[cell.alias(c) for c, cell in cells.items()])
+        cells[chars_col] = F.char_length("__judged.clean_text").cast(dict(docs.dtypes)[chars_col])
+    return found.filter("__judged.kept").select(*[cell.alias(c) for c, cell in cells.items()])
