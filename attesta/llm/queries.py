@@ -17,6 +17,13 @@ MIX_WEIGHTS = {"src0": 15, "src1": 6, "src2": 5, "src3": 4, "src4": 3, "src5": 2
 PACK_LENGTHS = (1024, 2048, 4096, 8192)
 
 
+def vocabulary() -> str:
+    """The rank file of the token counter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def _register(function):
     QUERIES[function.__name__] = function
     return function
@@ -77,12 +84,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     from attesta.llm.token_counts import token_counts
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("text")
+    return token_counts(docs, vocabulary()).drop("text")
 
 
 @_register
