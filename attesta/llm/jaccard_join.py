@@ -19,7 +19,8 @@ centres of groups; later ones are drawn by hash, another one for each list. What
 pair within the lists, so that every link between two components is found and no group meets itself again.
 
 Each set carries a bitmap in which every shingle toggles one bit: two bitmaps differ in at most as many bits as the
-sets in shingles, so pairs whose bitmaps differ in more than links allow are never made. Large sets would fill such a bitmap, so
+sets in shingles, so pairs whose bitmaps differ in more than links allow are never compared. Bitmaps of single pairs have at least twice as many
+places as shingles. Those in the lists have few places, and large sets would fill them, so
 they are cut into parts by hash: if two sets link, then in some part the shares of both do too, since the ratio of two sums is at
 most the largest ratio of their terms. Parts are listed and compared by bitmap like sets of their own.
 
@@ -52,6 +53,8 @@ CUT = 512
 COMPARE, MET = 1 / 32, 64
 #: Lists of a shingle that the summary counts more often are counted in parts of about this many rows.
 HOT = 1000
+#: Longs of the bitmaps that may be broadcast, 16 MB.
+BROADCAST_LONGS = 2_000_000
 #: Pivots that a document is compared with in a round, those that share the most lists with it.
 PIVOTS = 4
 
@@ -88,6 +91,17 @@ def bitmaps(own: np.ndarray, part: np.ndarray | int = 0, parts: int = 1) -> np.n
     return np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(parts, BITS)
 
 
+def places_of(n: int) -> int:
+    """Places of the bitmap for single pairs whose larger set has n shingles: a power of two."""
+    return max(512, 1 << (2 * n - 1).bit_length())
+
+
+def wide(own: np.ndarray, places: int) -> np.ndarray:
+    at = (own >> np.uint64(20)).astype(np.int64) & (places - 1)
+    flips = np.bincount(at, minlength=places)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
 def levels(n: int) -> range:
     """The levels, of 4 ** level parts, at which a set of n shingles is listed: its own and that of a linked larger set.
 
@@ -97,20 +111,41 @@ def levels(n: int) -> range:
     return range(level(n), level(5 * n // 4) + 1)
 
 
+def most_apart(n: str, m: str) -> str:
+    """SQL: the most shingles that only one of two linked sets has. The overlap is at least 4/9 of both sizes together."""
+    return f"{n} + {m} - 2 * ((4 * ({n} + {m}) + 8) div 9)"
+
+
 def may_link(a: str, b: str, n: str, m: str) -> str:
-    """SQL: sizes and bitmaps allow a link. The overlap is at least 4/9 of both sizes together."""
+    """SQL: sizes and short bitmaps allow a link."""
     differ = " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(BITS))
-    return f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) and {differ} <= {n} + {m} - 2 * ((4 * ({n} + {m}) + 8) div 9)"
+    return f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) and {differ} <= {most_apart(n, m)}"
+
+
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and long bitmaps allow a link. ``sets``: id, n, bits, up (bits for a pair with a larger set)."""
+    few = pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    side = lambda x: sets.select(F.col("id").alias(x), *[F.col(c).alias(x + c) for c in ("n", "bits", "up")])
+    found = side("a").join(F.broadcast(pairs) if few else pairs, "a")
+    found = found.select("a", "b", "an", "abits", "aup")
+    if few:
+        found = cut(found, "sided")
+        longs = found.agg(F.sum(F.size("abits") + F.coalesce(F.size("aup"), F.lit(0)))).first()[0] or 0
+        found = F.broadcast(found) if longs <= BROADCAST_LONGS else found
+    found = side("b").join(found, "b").filter("5 * least(an, bn) >= 4 * greatest(an, bn)")
+    same = "case when size(abits) = size(bbits) then struct(abits as x, bbits as y) when size(abits) < size(bbits) then struct(aup as x, bbits as y) else struct(abits as x, bup as y) end"
+    differ = "aggregate(zip_with(pair.x, pair.y, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return found.withColumn("pair", F.expr(same)).filter(f"{differ} <= {most_apart('an', 'bn')}").select("a", "b")
 
 
 def sketch(docs: DataFrame, counters: int) -> DataFrame:
-    """Rows of kind 0: id, n, digest and bitmap of the set; of kind 1: frequent shingles of a task and their counts; of kind 2: counts of
+    """Rows of kind 0: id, n, digest and bitmaps of the set; of kind 1: frequent shingles of a task and their counts; of kind 2: counts of
     one shingle in 256, for the cost of scanning lists."""
-    columns = ["kind", "id", "n", "d1", "d2", "bits", "token", "times"]
+    columns = ["kind", "id", "n", "d1", "d2", "bits", "up", "token", "times"]
 
     def counts(kind: int, tokens: np.ndarray, times: np.ndarray) -> pd.DataFrame:
         none = pd.Series([[]] * len(tokens), dtype=object)
-        return pd.DataFrame({"kind": kind, "id": 0, "n": 0, "d1": 0, "d2": 0, "bits": none, "token": tokens.view(np.int64), "times": times}, columns=columns)
+        return pd.DataFrame({"kind": kind, "id": 0, "n": 0, "d1": 0, "d2": 0, "bits": none, "up": none, "token": tokens.view(np.int64), "times": times}, columns=columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -120,7 +155,8 @@ def sketch(docs: DataFrame, counters: int) -> DataFrame:
             rows = []
             for key, own in zip(batch["id"], shingle_sets(_texts(batch["text"])), strict=True):
                 digest = xxhash.xxh3_128_intdigest(own.tobytes())
-                rows.append((0, key, len(own), (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, bitmaps(own)[0], 0, 0))
+                here, up = places_of(len(own)), places_of(5 * len(own) // 4)
+                rows.append((0, key, len(own), (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, wide(own, here), wide(own, up) if up > here else None, 0, 0))
                 waiting.append(own)
                 size += len(own)
                 if size > 1_000_000:
@@ -136,7 +172,7 @@ def sketch(docs: DataFrame, counters: int) -> DataFrame:
         often = kept[1] > 1
         yield counts(1, kept[0][often], kept[1][often])
 
-    return docs.mapInPandas(run, "kind int, id long, n long, d1 long, d2 long, bits array<long>, token long, times long")
+    return docs.mapInPandas(run, "kind int, id long, n long, d1 long, d2 long, bits array<long>, up array<long>, token long, times long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -272,7 +308,7 @@ def mixed_lists(shared: DataFrame, labels: DataFrame | None) -> tuple[DataFrame,
     return own, mixed
 
 
-def pivot_round(shared: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, turn: int) -> DataFrame:
+def pivot_round(shared: DataFrame, labels: DataFrame | None, sets: DataFrame, docs: DataFrame, turn: int) -> DataFrame:
     """Links (a, b) between each list's pivot and its members outside the pivot's component."""
     own, mixed = mixed_lists(shared, labels)
     if turn == 0:
@@ -283,15 +319,15 @@ def pivot_round(shared: DataFrame, labels: DataFrame | None, classes: DataFrame,
     pivots = rated.groupBy("token", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("rate", "id", "comp")).alias("top"))
     pivots = pivots.filter("lo < hi").select("token", "part", F.col("top.id").alias("pivot"), F.col("top.comp").alias("pivot_comp"))
     met = own.join(pivots, ["token", "part"]).filter("comp <> pivot_comp").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("met"))
-    mine = classes.select("id", "n", "bits")
-    theirs = classes.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("bits").alias("p"))
-    met = met.join(mine, "id").join(theirs, "pivot").filter(may_link("bits", "p", "n", "m"))
+    met = cut(met, "met")
+    allowed = likely(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")), sets)
+    met = met.join(allowed.select(F.col("a").alias("pivot"), F.col("b").alias("id")).distinct(), ["id", "pivot"])
     best = Window.partitionBy("id").orderBy(F.desc("met"), "pivot")  # a document's pivots: no more than its lists
     chosen = met.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PIVOTS)
     return verify(chosen.select(F.col("pivot").alias("a"), F.col("id").alias("b")), docs)
 
 
-def left_pairs(shared: DataFrame, labels: DataFrame, docs: DataFrame, boundary: int) -> DataFrame:
+def left_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, boundary: int) -> DataFrame:
     """All pairs (a, b) within a list, of different components, whose sizes and bitmaps allow a link."""
     own, mixed = mixed_lists(shared, labels)
     own = cut(own.join(mixed, ["token", "part"]).select("token", "part", "id", "comp"), "mixed")
@@ -302,8 +338,9 @@ def left_pairs(shared: DataFrame, labels: DataFrame, docs: DataFrame, boundary:
     near = F.expr(f"ca < cb and 5 * least(na, nb) >= 4 * greatest(na, nb) and greatest(na, nb) >= from_n and {may_link('ba', 'bb', 'sa', 'sb')}")
     near = near & ((F.col("part") == 0) | (F.greatest("na", "nb") > boundary))
     pairs = side("a").join(side("b"), ["token", "part"]).filter(near).select("a", "b")
-    pairs = cut(pairs.distinct(), "left-pairs")
-    drop(own, lists)
+    near_pairs = cut(pairs.distinct(), "near-pairs")
+    pairs = cut(likely(near_pairs, sets), "left-pairs")
+    drop(own, lists, near_pairs)
     return pairs
 
 
@@ -327,16 +364,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     spark = docs.sparkSession
     sketches = cut(sketch(docs, counters), "sketches")
-    rows = sketches.filter("kind = 0").select("id", "n", "d1", "d2", "bits")
+    rows = sketches.filter("kind = 0").select("id", "n", "d1", "d2")
+    sets = sketches.filter("kind = 0 and n > 0").select("id", "n", "bits", "up")
     often = sketches.filter("kind = 1").groupBy("token").agg(F.sum("times").alias("times")).filter("times > 8")
     often = sorted((np.uint64(r["token"] & (2**64 - 1)), r["times"]) for r in often.orderBy(F.desc("times"), "token").limit(frequent).collect())
     held = spark.sparkContext.broadcast((np.array([t for t, _ in often], np.uint64), np.array([c for _, c in often], np.int64)))  # at most `frequent`
     cost = sketches.filter("kind = 2").groupBy("token").agg(F.sum("times").alias("c")).agg(F.sum(F.col("c") * F.least(F.col("c") - 1, F.lit(MET))), F.sum("c")).first()
     scanned = COMPARE * (cost[0] or 0) / (cost[1] or 1)
 
-    classes = cut(rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "bits")).alias("first")).select("n", "d1", "d2", "first.*"), "classes")
-    first = classes.select("n", "d1", "d2", F.col("id").alias("first"))
-    placed = cut(rows.select("id", "n", "d1", "d2").join(first, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("first", "id").alias("first")), "placed")
+    classes = cut(rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("first")), "classes")
+    placed = cut(rows.join(classes, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("first", "id").alias("first")), "placed")
     # An id with rows in different classes is one vertex: its rows' representatives are linked.
     twice = cut(placed.groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.count_distinct("first").alias("k")).filter("k > 1").select("id"), "twice")
     links = [placed.join(twice, "id").select(F.col("first").alias("a"), F.col("id").alias("b")).filter("a <> b")]
@@ -355,13 +392,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     labels, made = None, []
     for turn in range(rounds):
-        found = pivot_round(shared, labels, classes, own, turn)
+        found = pivot_round(shared, labels, sets, own, turn)
         made.append(found)
         if turn and found.limit(1).count() == 0:
             break
         links.append(found)
         labels = components(reduce(DataFrame.union, links))
-    pairs = left_pairs(shared, labels, own, boundary)
+    pairs = left_pairs(shared, labels, sets, own, boundary)
     found = verify(pairs, own)
     if found.limit(1).count():
         labels = components(reduce(DataFrame.union, [*links, found]))
