@@ -8,9 +8,10 @@ from attesta.llm.common import cut
 from attesta.llm.exact_dedup import drop_copies
 from attesta.llm.jaccard_join import one_of_each
 from attesta.llm.mixing import mixed_documents
-from attesta.llm.packing import pack_in_order
+from attesta.llm.packing import pack_texts
 from attesta.llm.quality_rules import clean_documents
-from attesta.llm.queries import MIX_WEIGHTS, PACK_LENGTHS
+from attesta.llm.queries import MIX_WEIGHTS, PACK_LENGTHS, vocabulary
+from attesta.llm.token_counts import token_pieces
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in training sequences, which follow the mixture window by window."""
-    return pack_in_order(docs, PACK_LENGTHS)
+    """Training sequences: pieces of the cleaned documents, with their text and their places in bins that follow the mixture window by window.
+
+    Tokens are those of the token counter. The texts of a bin's pieces in the order of ``bin_offset`` make the sequence.
+    """
+    return pack_texts(token_pieces(docs.select("doc_id", "mix_pos", "text"), vocabulary(), max(PACK_LENGTHS)), PACK_LENGTHS)
 
 
 STAGES = [
