@@ -313,7 +313,7 @@ def pivot_round(shared: DataFrame, labels: DataFrame | None, sets: DataFrame, do
     own, mixed = mixed_lists(shared, labels)
     if turn == 0:
         score = shared.groupBy("id").agg(F.sum(F.log2("c")).alias("score"))
-        rated = own.join(score, "id").withColumn("rate", F.struct("score", -F.col("id")))
+        rated = own.join(score, "id").withColumn("rate", F.struct("score", F.bitwise_not("id")))
     else:
         rated = own.withColumn("rate", F.struct(F.xxhash64("id", "token", F.lit(turn)), F.col("id")))
     pivots = rated.groupBy("token", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("rate", "id", "comp")).alias("top"))
