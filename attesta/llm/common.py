@@ -42,6 +42,13 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/attesta-{name}-{uuid.uuid4().hex}"
+    _left[path] = spark
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -49,9 +56,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     costs nothing but its running tasks. ``drop`` deletes the table; what is left goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/attesta-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    _left[path] = spark
     found = spark.read.schema(df.schema).parquet(path)
     found.cut_path = path
     return found

@@ -50,9 +50,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from attesta.llm.resharding import reshard
+    from attesta.llm.common import scratch_path
+    from attesta.llm.resharding import reshard_files
 
-    found = reshard(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = reshard_files(_table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "shards"))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", "block")
 
 

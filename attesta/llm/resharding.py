@@ -1,8 +1,8 @@
 """Minimum-cost-flow resharding.
 
 Rows belong to blocks: a block is a range of the text hash, so equal texts share a block,
-and texts whose rows alone are large form blocks of their own (sliced by id hash when one
-is too large for any shard). From the old shards' sizes and the new shards' capacities a
+and texts whose rows alone are large form blocks of their own (sliced by id hash only when the rows of one
+would not fit any shard). From the old shards' sizes and the new shards' capacities a
 minimum-cost flow (a byte that stays costs 0, a byte that moves costs 1) says how many bytes
 each old shard sends to each new one; whole blocks then realise that flow. Only the block table -
 bounded by ``blocks`` plus the large texts - reaches the driver; rows are routed by a
@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import cut, hash32, positions
+from attesta.llm.common import cut, hash32, positions, shield, unshield
 
+#: The old shard of rows that have none yet: every place costs them a move.
+NO_SHARD = -1
 OUT = ["size", "text_crc32", "old_shard", "shard", "slot", "block"]
 
 
@@ -102,17 +104,18 @@ def plan_transfers(blocks: list[tuple[int, int, int]], capacities: list[int]) ->
 def reshard(docs: DataFrame, new_shards: int = 16, old_shards: int = 12, old_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", blocks: int = 4096, large: int = 256) -> DataFrame:
     """All rows and columns of ``docs`` with size, text_crc32, old_shard, shard, slot and block.
 
-    Sizes are the text's UTF-8 bytes (null: none) plus one. The law is ``bytes``: the new shards get equal capacities
-    and end within about one block of each other. ``old_col`` names the present shard (0-based); without it the
-    rows are taken as laid out by text hash over ``old_shards``. Equal texts of one old shard stay together unless they
-    fill over half a shard. ``slot`` numbers a shard's rows from 0 without gaps, by id hash; rows that share an id have either order. An empty table gives an empty one; null ids hash as empty text; input columns named as
-    the output ones are replaced.
+    Sizes are the text's UTF-8 bytes (null: none) plus one, however long. The law is ``bytes``: the new shards get equal capacities
+    and end within about one block of each other. ``old_col`` names the present shard (0-based; null or negative: none yet, given back
+    as null); without it the rows are taken as laid out by text hash over ``old_shards``. Equal texts of one old shard stay together unless
+    their rows would not fit one new shard. ``slot`` numbers a shard's rows from 0 without gaps, by id hash; rows that share an id, or have none, take either
+    order. Null ids hash as empty text. Input columns named as the output ones may be read (as ``old_col`` too) and are replaced. An empty table
+    gives an empty one.
     """
-    docs = docs.drop(*OUT)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    own, names = shield(docs)
+    text = F.coalesce(F.col(names[text_col]).cast("string"), F.lit(""))
     crc = F.crc32(text.cast("binary"))
-    old = F.col(old_col).cast("int") if old_col else F.pmod(F.floor(crc / F.lit(65536)), F.lit(old_shards)).cast("int")
-    sized = docs.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": crc, "__text": F.xxhash64(text), "__slicer": hash32(id_col), "old_shard": old})
+    old = F.greatest(F.coalesce(F.col(names[old_col]).cast("int"), F.lit(NO_SHARD)), F.lit(NO_SHARD)) if old_col else F.pmod(F.floor(crc / F.lit(65536)), F.lit(old_shards)).cast("int")
+    sized = own.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": crc, "__text": F.xxhash64(text), "__slicer": hash32(names[id_col]), "old_shard": old})
     thin = cut(sized.select("size", "text_crc32", "__text", "__slicer", "old_shard"), "sizes")
     total = thin.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     capacity = -(-total // new_shards)
@@ -120,7 +123,7 @@ def reshard(docs: DataFrame, new_shards: int = 16, old_shards: int = 12, old_col
     # Texts whose copies make up over 1/large of a shard: fewer than new_shards * large of them.
     big = thin.groupBy("old_shard", "__text").agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__n"))
     big = big.filter(F.col("__bytes") > max(1, capacity // large))
-    big = big.withColumn("__slices", F.least(F.col("__n"), F.when(F.col("__bytes") * 2 <= capacity, 1).otherwise(F.ceil(F.col("__bytes") * 16 / F.lit(max(1, capacity))))).cast("long"))
+    big = big.withColumn("__slices", F.least(F.col("__n"), F.when(F.col("__bytes") <= capacity, 1).otherwise(F.ceil(F.col("__bytes") * 16 / F.lit(max(1, capacity))))).cast("long"))
     big = F.broadcast(cut(big.select("old_shard", "__text", "__slices"), "large-texts"))
 
     def keyed(rows: DataFrame) -> DataFrame:
@@ -128,21 +131,38 @@ def reshard(docs: DataFrame, new_shards: int = 16, old_shards: int = 12, old_col
         sliced = F.concat_ws(":", "__text", F.pmod("__slicer", F.col("__slices")))
         return rows.join(big, ["old_shard", "__text"], "left").withColumn("__key", F.when(F.col("__slices").isNull(), small).otherwise(sliced))
 
+    # One row for each block: at most old shards * blocks, and the large texts.
     sizes = keyed(thin).groupBy("old_shard", "__key").agg(F.sum("size").alias("bytes")).collect()
     sizes = sorted((r["old_shard"], r["__key"], r["bytes"]) for r in sizes)
     new = plan_transfers([(i, old, size) for i, (old, _, size) in enumerate(sizes)], [capacity] * new_shards) if sizes else {}
     schema = T.StructType([T.StructField("old_shard", T.IntegerType()), T.StructField("__key", T.StringType()), T.StructField("block", T.LongType()), T.StructField("shard", T.IntegerType())])
     routes = docs.sparkSession.createDataFrame([(old, key, i, new[i]) for i, (old, key, _) in enumerate(sizes)], schema)
     routed = keyed(sized).join(F.broadcast(routes), ["old_shard", "__key"]).withColumn("__place", F.col("__slicer"))
-    return positions(routed, "shard", "__place", [id_col, "text_crc32"], "slot").select(*docs.columns, *OUT)
+    found = positions(routed, "shard", "__place", [names[id_col], "text_crc32"], "slot")
+    return unshield(found.withColumn("old_shard", F.when(F.col("old_shard") != NO_SHARD, F.col("old_shard"))), names, OUT)
 
 
-def rewrite_affected(resharded: DataFrame, path: str) -> DataFrame:
-    """Write the new shards that don't hold exactly their old rows, by shard; returns all shards with an ``affected`` flag."""
-    came = resharded.groupBy("shard").agg(F.max((F.col("old_shard") != F.col("shard")).cast("int")).alias("gained"))
-    went = resharded.groupBy(F.col("old_shard").alias("shard")).agg(F.max((F.col("old_shard") != F.col("shard")).cast("int")).alias("lost"))
+def rewrite_affected(resharded: DataFrame, path: str, rows_per_file: int = 16384) -> DataFrame:
+    """Write the new shards that don't hold exactly their old rows, by shard; returns all shards with an ``affected`` flag.
+
+    Files of one shard hold its rows by slot. A shard that kept its rows and gained none isn't written: its files are right as they are. A task that
+    is lost is run again and writes the same rows.
+    """
+    moved = (~F.col("old_shard").eqNullSafe(F.col("shard"))).cast("int")
+    came = resharded.groupBy("shard").agg(F.max(moved).alias("gained"))
+    went = resharded.filter("old_shard is not null").groupBy(F.col("old_shard").alias("shard")).agg(F.max(moved).alias("lost"))
     state = came.join(went, "shard", "full").select("shard", (F.coalesce("gained", F.lit(0)) + F.coalesce("lost", F.lit(0)) > 0).alias("affected"))
     state = cut(state, "affected")  # one row for each shard
-    moved = resharded.join(F.broadcast(state.filter("affected")), "shard", "left_semi")
-    moved.repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows = resharded.join(F.broadcast(state.filter("affected")), "shard", "left_semi")
+    rows.repartition("shard", F.expr(f"slot div {rows_per_file}")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return state
+
+
+def reshard_files(docs: DataFrame, path: str, **settings) -> DataFrame:
+    """``reshard``, with the affected shards written to ``path``; rows of those shards are read back from the files."""
+    found = reshard(docs, **settings)
+    state = rewrite_affected(found, path)
+    held = F.broadcast(state.filter("affected"))  # one row for each shard
+    schema = T.StructType(sorted(found.schema.fields, key=lambda x: x.name == "shard"))
+    written = docs.sparkSession.read.schema(schema).parquet(path).select(*found.columns)
+    return written.join(held, "shard", "left_semi").select(*found.columns).unionByName(found.join(held, "shard", "left_anti").select(*found.columns))
