@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
-Each language's profile is the set of its characteristic character n-grams. All profiles share one bit-sliced Bloom
-filter: slot ``i`` holds a bitmask of languages, and the AND of an n-gram's slots is the set of languages
+Each language's profile is the set of character n-grams of its labelled texts. All profiles share one bit-sliced Bloom
+filter: slot ``i`` holds a bitmask of languages (a word for every 64 of them), and the AND of an n-gram's slots is the set of languages
 that contain it, found in one look-up for all languages. A document's popcounts by language are corrected for the
 false-positive rate of that language's slice, and the largest corrected share decides.
 """
@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import small_batches
+from attesta.llm.common import shield, small_batches, unshield
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -24,7 +24,7 @@ _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 @dataclass
 class BitmaskFilter:
-    """languages, n-gram length, hashes, the slots (one bit for each language), and false-positive rates by language."""
+    """languages, n-gram length, hashes, the slots (rows of 64 languages, one bit for each), and false-positive rates by language."""
 
     languages: list[str]
     n: int
@@ -65,27 +65,46 @@ def _places(grams: np.ndarray, hashes: int, bits: int) -> Iterator[np.ndarray]:
         yield (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def build_filter(profiles: dict[str, np.ndarray], n: int, hashes: int = 2, bits: int = 19) -> BitmaskFilter:
-    languages = sorted(profiles)
-    if len(languages) > 64:
-        raise ValueError("one filter holds up to 64 languages")
-    slots = np.zeros(1 << bits, np.uint64)
-    for at, language in enumerate(languages):
-        for places in _places(profiles[language], hashes, bits):
-            np.bitwise_or.at(slots, places, np.uint64(1) << np.uint64(at))
-    load = np.array([((slots >> np.uint64(at)) & np.uint64(1)).mean() for at in range(len(languages))])
+def slot_masks(table: DataFrame, languages: list[str], hashes: int, bits: int) -> np.ndarray:
+    """The slots of a filter from distinct (lang, gram) rows: masks are united by slot on the executors."""
+    at = {language: k for k, language in enumerate(languages)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            grams = batch["gram"].to_numpy(np.int64).view(np.uint64)
+            order = batch["lang"].map(at).to_numpy(np.int64)
+            mask = (np.uint64(1) << (order & 63).astype(np.uint64)).view(np.int64)
+            for places in _places(grams, hashes, bits):
+                yield pd.DataFrame({"word": order >> 6, "slot": places, "mask": mask})
+
+    united = table.select("lang", "gram").mapInPandas(run, "word long, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
+    slots = np.zeros(((len(languages) + 63) // 64, 1 << bits), np.uint64)
+    found = united.toPandas()  # at most 2 ** bits rows for every 64 languages
+    slots[found["word"].to_numpy(np.int64), found["slot"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    return slots
+
+
+def sealed(languages: list[str], n: int, hashes: int, slots: np.ndarray) -> BitmaskFilter:
+    """A filter with the false-positive rate that each language's share of set slots gives."""
+    load = np.array([(slots[at >> 6] >> np.uint64(at & 63) & np.uint64(1)).mean() for at in range(len(languages))])
     return BitmaskFilter(languages, n, hashes, slots, load**hashes)
 
 
+def languages_of(grams: np.ndarray, model: BitmaskFilter) -> np.ndarray:
+    """For each n-gram the bitmask of all languages that contain it, in rows of 64 languages."""
+    masks = np.full((len(model.slots), len(grams)), ~np.uint64(0))
+    for places in _places(grams, model.hashes, int(model.slots.shape[1]).bit_length() - 1):
+        masks &= model.slots[:, places]
+    return masks
+
+
 def score(text: str | None, model: BitmaskFilter) -> tuple[str, float]:
     """The language and its share among the corrected counts; ``und`` and 0 without letters or a learned language."""
     if not text or not any(c.isalpha() for c in text) or not model.languages:
         return "und", 0.0
     grams = ngrams(letters_only(text), model.n)
-    masks = np.full(len(grams), ~np.uint64(0))
-    for places in _places(grams, model.hashes, int(len(model.slots)).bit_length() - 1):
-        masks &= model.slots[places]
-    hits = np.array([np.count_nonzero(masks & (np.uint64(1) << np.uint64(at))) for at in range(len(model.languages))], float)
+    masks = languages_of(grams, model)
+    hits = np.array([np.count_nonzero(masks[at >> 6] & (np.uint64(1) << np.uint64(at & 63))) for at in range(len(model.languages))], float)
     # Observed = true + (all - true) * rate, so true = (observed - all * rate) / (1 - rate).
     true = np.maximum(0, hits - len(grams) * model.false_rate) / np.maximum(1e-9, 1 - model.false_rate)
     best = int(np.argmax(true))
@@ -93,16 +112,18 @@ def score(text: str | None, model: BitmaskFilter) -> tuple[str, float]:
     return model.languages[best], float(true[best] / total) if total > 0 else 1 / len(model.languages)
 
 
-def learn(labelled: DataFrame, n: int = 4, profile: int = 4000, sample: int = 4000, bits: int = 19) -> BitmaskFilter:
+def learn(labelled: DataFrame, n: int = 4, sample: int = 4000, bits: int = 20, hashes: int = 2) -> BitmaskFilter:
     """A filter from (id, text, lang) rows.
 
-    At most about ``sample`` rows of each language are read, those with the smallest hash of the id; n-grams are
-    counted by the number of these documents that hold them, and a language's profile is its ``profile`` n-grams with the
-    largest share in it, weighted by how much likelier they are there than over all languages.
+    About ``sample`` rows of each language are read, those with the smallest hash of the id: the bound on labelled rows. Every
+    n-gram of their whole texts belongs to the language's profile; none is left out. ``bits`` sets the slots (2 ** bits), whose load the false-positive
+    rates follow. Rows without id, text or language teach nothing.
     """
+    labelled = labelled.filter("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
+    languages = sorted(counts)
     if not counts:
-        return build_filter({}, n, bits=bits)
+        return sealed([], n, hashes, np.zeros((0, 1 << bits), np.uint64))
     limit = F.create_map(*[F.lit(x) for lang, c in counts.items() for x in (lang, min(1.0, sample / c) * 2**32)])
     chosen = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(2**32)) < limit[F.col("lang")]).select("lang", "text")
 
@@ -121,27 +142,17 @@ def learn(labelled: DataFrame, n: int = 4, profile: int = 4000, sample: int = 40
 
     def merged(held: dict[str, list[np.ndarray]]) -> Iterator[pd.DataFrame]:
         for lang, parts in held.items():
-            grams, found = np.unique(np.concatenate(parts), return_counts=True)
-            yield pd.DataFrame({"lang": lang, "gram": grams.view(np.int64), "n": found})
-
-    table = chosen.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    read = chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))  # one row for each language
-    share = table.join(F.broadcast(read), "lang").withColumn("share", F.col("n") / F.col("docs"))
-    over = share.withColumn("all", F.sum("share").over(Window.partitionBy("gram")))
-    ranked = over.withColumn("weight", F.col("share") * F.col("share") / F.col("all"))
-    top = Window.partitionBy("lang").orderBy(F.desc("weight"), "gram")
-    rows = ranked.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= profile).select("lang", "gram").collect()  # languages times profile
-    profiles: dict[str, list[int]] = {lang: [] for lang in counts}
-    for r in rows:
-        profiles[r["lang"]].append(r["gram"])
-    return build_filter({lang: np.array(grams, np.int64).view(np.uint64) for lang, grams in profiles.items()}, n, bits=bits)
+            yield pd.DataFrame({"lang": lang, "gram": np.unique(np.concatenate(parts)).view(np.int64)})
+
+    table = chosen.mapInPandas(count, "lang string, gram long").distinct()
+    return sealed(languages, n, hashes, slot_masks(table, languages, hashes, bits))
 
 
 def identify(docs: DataFrame, model: BitmaskFilter, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``lang_pred`` and ``score``.
 
-    The text alone decides. A null text or one without a letter gets ``und`` and score 0. Ties go to
-    the first language in alphabetical order. Input columns named as the output ones are replaced; an empty table gives an
+    The text alone decides, all of it, so repeated rows and rows that share an id agree. A null text or one without a letter gets ``und`` and score 0. Ties go to
+    the first language in alphabetical order. Input columns named as the output ones may hold the text and are replaced; an empty table gives an
     empty result.
     """
     parts = (model.languages, model.n, model.hashes, model.slots, model.false_rate)
@@ -153,6 +164,8 @@ def identify(docs: DataFrame, model: BitmaskFilter, text_col: str = "text") -> D
         for batch in texts:
             yield pd.DataFrame([score(x, own) for x in batch], columns=["lang_pred", "score"])
 
-    docs = small_batches(docs).drop("lang_pred", "score")
-    found = docs.withColumn("__found", predict(F.col(text_col)))
-    return found.select(*docs.columns, F.col("__found.lang_pred").alias("lang_pred"), F.col("__found.score").alias("score"))
+    own, names = shield(small_batches(docs))
+    found = own.withColumn("__found", predict(F.col(names[text_col]).cast("string")))
+    for name in ("lang_pred", "score"):
+        found = found.withColumn(name, F.col(f"__found.{name}"))
+    return unshield(found, names, ["lang_pred", "score"])
