@@ -168,8 +168,8 @@ def test_language_id(spark, empty):
     assert all(0 <= s <= 1 for _, s in found.values())
     assert language_id.identify(empty, model).count() == 0
     grams = language_id.ngrams(language_id.letters_only("this that"), 4)
-    for places in language_id._places(grams, model.hashes, 19):
-        assert (model.slots[places] >> np.uint64(model.languages.index("en")) & np.uint64(1)).all()
+    for places in language_id._places(grams, model.hashes, 20):
+        assert (model.slots[0][places] >> np.uint64(model.languages.index("en")) & np.uint64(1)).all()
 
 
 def brute_tokens(word, scores, floor):
@@ -293,3 +293,167 @@ def test_kneser_ney(spark, docs, empty):
             assert math.isclose(row["perplexity"], split[key]["perplexity"], rel_tol=1e-9)
     assert kneser_ney.classify(empty, trusted).count() == 0
     assert all(r["kept"] == (r["n_bytes"] > 0) for r in kneser_ney.classify(docs.limit(20), trusted.filter("doc_id < 0")).collect())
+
+
+def test_language_filter_holds_every_gram(spark):
+    """Against exact sets: each language that has an n-gram is returned for it, beyond 64 languages too, and few others."""
+    rng = np.random.default_rng(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02d}": ["".join(rng.choice(list(letters), 6)) for _ in range(30)] for k in range(70)}
+    rows = [(k, " ".join(rng.choice(words[f"l{k % 70:02d}"], 20)), f"l{k % 70:02d}") for k in range(700)]
+    model = language_id.learn(spark.createDataFrame(rows, "id long, text string, lang string"), bits=16)
+    exact = {lang: set() for lang in model.languages}
+    for _, text, lang in rows:
+        exact[lang] |= set(language_id.ngrams(language_id.letters_only(text), 4).tolist())
+    grams = np.array(sorted(set().union(*exact.values())), np.uint64)
+    masks = language_id.languages_of(grams, model)
+    wrong = 0
+    for at, lang in enumerate(model.languages):
+        found = (masks[at >> 6] >> np.uint64(at & 63) & np.uint64(1)).astype(bool)
+        held = np.array([g in exact[lang] for g in grams.tolist()])
+        assert found[held].all()
+        wrong += int(found[~held].sum())
+    assert wrong < 0.01 * len(grams) * 70
+    asked = spark.createDataFrame([(k, " ".join(words[f"l{k:02d}"][:12])) for k in range(70)], "doc_id long, score string")
+    found = language_id.identify(asked, model, "score").collect()
+    assert [r["lang_pred"] for r in sorted(found, key=lambda r: r["doc_id"])] == model.languages
+
+
+def test_resharding_of_rows_without_a_shard(spark, tmp_path):
+    """Nulls in the old shard, working names as input columns, and every row in the files."""
+    rows = [(k, f"text {k % 90} " * (1 + k % 7), None if k % 4 == 0 else k % 3, "mine") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, __text string")
+    found = resharding.reshard(docs, 4, old_col="shard").toPandas()
+    assert len(found) == 400 and (found["__text"] == "mine").all()
+    assert found["old_shard"].isna().sum() == 100
+    sums = found.groupby("shard")["size"].sum()
+    assert sums.max() - sums.min() <= found.groupby(["old_shard", "text"], dropna=False)["size"].sum().max()
+    assert resharding.reshard(docs.withColumn("shard", F.lit(None).cast("int")), 4, old_col="shard").count() == 400
+    path = str(tmp_path / "shards")
+    read = resharding.reshard_files(docs, path, new_shards=4, old_col="shard").toPandas()
+    key = ["doc_id", "shard", "slot"]
+    assert sorted(map(tuple, read[key].values.tolist())) == sorted(map(tuple, found[key].values.tolist()))
+    assert spark.read.parquet(path).count() == 400
+
+
+def test_resharding_leaves_shards_that_keep_their_rows(spark, tmp_path):
+    rows = [(k, f"{k:04d}" * 5, k % 4) for k in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old int")
+    same = resharding.reshard(docs, 4, old_col="old")
+    assert same.filter("shard <> old_shard").count() == 0
+    state = {r["shard"]: r["affected"] for r in resharding.rewrite_affected(same, str(tmp_path / "same")).collect()}
+    assert state == {0: False, 1: False, 2: False, 3: False}
+    more = spark.createDataFrame([*rows, (64, "x" * 20, None)], docs.schema)
+    assert resharding.reshard_files(more, str(tmp_path / "more"), new_shards=4, old_col="old").count() == 65
+
+
+def test_equal_texts_that_fit_a_shard_stay_together(spark):
+    rows = [(k, "copy of one text" if k < 18 else f"other text {k}") for k in range(100)]
+    found = resharding.reshard(spark.createDataFrame(rows, "doc_id long, text string"), 4).toPandas()
+    assert found[found["doc_id"] < 18]["shard"].nunique() == 1
+
+
+def test_plan_moves_whole_blocks():
+    """Every block once, no shard over its capacity by more than a block, and no more bytes moved than the flow plus one block a shard."""
+    rng = np.random.default_rng(3)
+    blocks = [(k, int(rng.integers(0, 5)), int(rng.integers(1, 40))) for k in range(300)]
+    total = sum(b[2] for b in blocks)
+    capacity = [-(-total // 7)] * 7
+    new = resharding.plan_transfers(blocks, capacity)
+    assert sorted(new) == list(range(300))
+    held = collections.Counter()
+    for block, _, size in blocks:
+        held[new[block]] += size
+    assert max(held.values()) <= capacity[0] + 40
+    supply = [sum(s for _, old, s in blocks if old == o) for o in range(5)]
+    flow = resharding.min_cost_flow(supply, list(capacity), [[int(i != j) for j in range(7)] for i in range(5)])
+    least = sum(flow[i][j] for i in range(5) for j in range(7) if i != j)
+    assert least <= sum(s for b, old, s in blocks if new[b] != old) <= least + 7 * 40
+
+
+def test_token_counts_of_long_pretokens(spark, tmp_path):
+    """Runs over every former limit count as the best path over the whole run."""
+    import base64
+
+    pieces = [bytes([b]) for b in b"abc "] + [b"ab", b"abc", b"ca", b"bcab", b"aa" * 6]
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(p) + b" %d" % k for k, p in enumerate(pieces)))
+    scores = token_counts.read_ranks(str(path))
+    rng = np.random.default_rng(4)
+    for size in (1023, 1024, 1025, 65535, 65537, 70001):
+        word = bytes(rng.choice(list(b"abc"), size).astype(np.uint8))
+        trie = token_counts.TrieCounter(scores)
+        expected = brute_long(word, scores, min(scores.values()))
+        assert trie.count_long(word) == expected
+        assert trie.count_texts([word + b" abc"])[0][0] == expected + brute_tokens(b" abc", scores, min(scores.values()))
+    text = bytes(rng.choice(list(b"abc  \n"), 9000).astype(np.uint8)) + b"abc" * 700
+    trie = token_counts.TrieCounter(scores)
+    cut = trie.pieces(text, 64)
+    assert b"".join(text[lo:hi] for lo, hi, _ in cut) == text and all(0 < n <= 64 for _, _, n in cut)
+
+
+def brute_long(word, scores, floor):
+    longest = max(map(len, scores))
+    best = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        top = (best[end - 1][0] + floor, -(best[end - 1][1] + 1))
+        for start in range(max(0, end - longest), end):
+            if word[start:end] in scores:
+                top = max(top, (best[start][0] + scores[word[start:end]], -(best[start][1] + 1)))
+        best.append((top[0], -top[1]))
+    return best[-1][1]
+
+
+def test_repeated_rows_in_exact_dedup(spark):
+    rows = [(k % 5, f"text {k % 5}", k) for k in range(20)] + [(None, "text 9", 20), (None, "text 9", 21), (None, None, 22), (7, "", 23)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long")
+    found = exact_dedup.exact_dedup(docs).collect()
+    assert len(found) == 24 and sum(r["kept"] for r in found) == 7
+    stay = exact_dedup.drop_copies(docs).collect()
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in stay) == [-1, 0, 1, 2, 3, 4, 7]
+
+
+def test_columns_named_as_results(spark, docs, tmp_path):
+    """Clashing names: inputs can be read under output names, other columns survive where nothing replaces them."""
+    odd = docs.withColumn("clean_text", F.col("text")).withColumn("kept", F.lit("user's")).withColumn("n_words", F.lit("user's"))
+    assert quality_rules.quality_rules(odd, "clean_text").filter("n_words > 0").count() > 0
+    clean = quality_rules.clean_documents(odd)
+    assert {r["kept"] for r in clean.collect()} == {"user's"} and clean.columns == odd.columns
+    named = docs.select("doc_id", F.col("text").alias("n_tokens"))
+    path = tmp_path / "ranks"
+    path.write_bytes(b"YQ== 0")
+    assert token_counts.token_counts(named, str(path), "n_tokens").filter("n_tokens > 0").count() > 0
+    assert "piece_in" in packing.pack(docs.withColumnRenamed("doc_id", "piece"), id_col="piece").columns
+
+
+def test_near_copies_that_share_an_id(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(1, text), (5, text + " x"), (5, other), (9, other + " y"), (None, "a b c d e f"), (None, "a b c d e f"), (11, "")]
+    found = {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(1, 1), (5, 1), (9, 1), (None, None), (11, 11)}
+    stay = [r["doc_id"] for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(stay, key=str) == [1, 11, None]
+
+
+def test_a_group_that_its_centre_does_not_settle(spark):
+    """Near copies of one base, most of which don't link with it, only with each other in chains."""
+    import random
+
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for chain in range(6):
+        words = list(base)
+        for step in range(12):
+            words[(chain * 20 + step * 9) % 120] = f"x{chain}-{step}"
+            rows.append((len(rows), " ".join(words)))
+    sets = {k: shingles.exact_set(t.encode()) for k, t in rows}
+    label = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {k: new if v == old else v for k, v in label.items()}
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == label
