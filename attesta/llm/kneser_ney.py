@@ -1,10 +1,12 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model counts strings of up to five bytes in all trusted texts. Counts, continuation counts, discounts, interpolation
-weights and probabilities are DataFrame joins and aggregations over the table of distinct strings. For scoring, the finished table is
-split into shards by the two bytes before the scored one, so each shard answers every look-up for its
-positions; a shard holds at most about ``shard_rows`` rows, is broadcast by itself and joined to the whole corpus, and a document's
-log-likelihoods are summed over the shards. A document is kept if its perplexity is within its language's quantile
+weights and probabilities are DataFrame joins and aggregations over the table of distinct strings.
+
+For scoring, documents go into blocks of some 32 MB. Each block names the distinct strings and contexts of its texts; a join by string with
+the model, sharded by hash over the executors, gives back those that the model knows; and each block meets its own answers in one task, which adds up the
+log probabilities of its documents. The model is never in one place, and a string that a block holds a thousand times is joined once.
+A document is kept if its perplexity is within its language's quantile
 among the trusted texts, times a margin.
 """
 
@@ -15,14 +17,20 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut, keep_ids, small_batches
+from attesta.llm.common import cut, drop, given_name, keep_ids, small_batches
 
 ORDER = 5
 #: Text bytes handled at a time.
 CHUNK = 1 << 20
+#: Text bytes of a block.
+BLOCK = 32 << 20
+#: Bins of a log perplexity of one, for the quantiles.
+BINS = 10_000
 
 
 def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,67 +131,130 @@ def log_probabilities(grams: np.ndarray, model: dict) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model: DataFrame, shard_rows: int) -> DataFrame:
-    """(id, lang, n, loglik): one row for each id and language, summed over the shards of the model."""
-    shards = max(1, -(-model.count() // shard_rows))
-    pair = F.when(F.col("is_context"), F.col("gram")).otherwise(F.shiftright("gram", 8)).bitwiseAND(F.lit(0xFFFF))
-    # Contexts under two bytes belong to every shard: at most 2**16 strings and 2**8 contexts.
-    sharded = model.withColumn("shard", F.when(F.col("level") >= 3, pair % shards).otherwise(-1))
-    parts = []
-    for s in range(shards):
-        rows = sharded.filter(F.col("shard").isin(-1, s)).select("level", "is_context", "gram", "value").toPandas()
+def strings_asked(grams: np.ndarray) -> np.ndarray:
+    """The keys of all strings and contexts that the distinct packed ``grams`` can need."""
+    asked = []
+    for k in range(ORDER, 0, -1):
+        grams = np.unique(grams & (2 ** (8 * k) - 1))
+        asked += [key_of(k, False, grams), key_of(k, True, np.unique(grams >> 8))]
+    return np.concatenate(asked)
+
+
+def key_of(level, is_context, gram):
+    """One number for a string or context of a level; the same over columns and arrays."""
+    return gram + (2 * level + is_context) * 2 ** (8 * ORDER)
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """(block, held): the rows (id, lang, text) of ``docs`` in blocks, compressed, each block from one task's rows in their order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, size, k = [], 0, 0
+        task = TaskContext.get().partitionId()
+
+        def packed_block() -> pd.DataFrame:
+            table = pa.table({"id": pa.array([r[0] for r in part], pa.int64()), "lang": pa.array([r[1] for r in part], pa.string()), "text": pa.array([r[2] for r in part], pa.large_binary())})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            return pd.DataFrame({"block": [task * 2**24 + k], "held": [sink.getvalue().to_pybytes()]})
+
+        for batch in batches:
+            for key, lang, text in zip(batch["id"], batch["lang"], batch["text"], strict=True):
+                if part and size + len(text) > BLOCK:
+                    yield packed_block()
+                    part, size, k = [], 0, k + 1
+                part.append((None if pd.isna(key) else int(key), lang if isinstance(lang, str) else None, bytes(text)))
+                size += len(text)
+        if part:
+            yield packed_block()
+
+    return docs.mapInPandas(run, "block long, held binary")
+
+
+def rows_of(held: bytes) -> tuple[list, list, list[bytes]]:
+    table = pa.ipc.open_stream(held).read_all()
+    return table["id"].to_pylist(), table["lang"].to_pylist(), table["text"].to_pylist()
+
+
+def score(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """(id, lang, n, loglik): one row for each row of ``docs`` (id, lang, text).
+
+    The blocks are shuffled once, for what they ask and for their scores.
+    """
+    held = blocks(docs).repartition("block")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, own in zip(batch["block"], batch["held"], strict=True):
+                found = [np.unique(grams[lo : lo + 8 * CHUNK]) for part in grouped(iter(rows_of(own)[2])) for grams in (packed(part)[0],) for lo in range(0, len(grams), 8 * CHUNK)]
+                if found:
+                    yield pd.DataFrame({"block": block, "key": strings_asked(np.unique(np.concatenate(found)))})
+
+    known = model.select(key_of(F.col("level"), F.col("is_context").cast("long"), F.col("gram")).cast("long").alias("key"), "value")
+    answers = held.mapInPandas(ask, "block long, key long").join(known, "key").select("block", "key", F.col("value").cast("float").alias("value"))
+
+    def add_up(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        answers = answers.sort_values("key")
+        keys, values = answers["key"].to_numpy(np.int64), answers["value"].to_numpy(float)
         arrays = {}
         for k in range(1, ORDER + 1):
             for context in (False, True):
-                own = rows[(rows["level"] == k) & (rows["is_context"] == context)].sort_values("gram")
-                arrays[(k, context)] = own["gram"].to_numpy(np.int64), own["value"].to_numpy(float)
-        del rows
-        held = docs.sparkSession.sparkContext.broadcast(arrays)
-
-        def run(batches: Iterator[pd.DataFrame], held=held, s=s) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                sums = []
-                for part in grouped(bytes(x) for x in batch["text"]):
-                    grams, bounds = packed(part)
-                    total = np.zeros(len(grams) + 1)
-                    for lo in range(0, len(grams), 8 * CHUNK):
-                        own = grams[lo : lo + 8 * CHUNK]
-                        one, back = np.unique(own, return_inverse=True)
-                        mine = (one >> 8 & 0xFFFF) % shards == s
-                        value = np.zeros(len(one))
-                        value[mine] = log_probabilities(one[mine], held.value)
-                        total[lo + 1 : lo + 1 + len(own)] = value[back]
-                    total = np.cumsum(total)
-                    sums += (total[bounds[1:]] - total[bounds[:-1]]).tolist()
-                yield pd.DataFrame({"id": batch["id"], "lang": batch["lang"], "n": [len(x) for x in batch["text"]], "loglik": sums})
-
-        parts.append(docs.select("id", "lang", "text").mapInPandas(run, "id long, lang string, n long, loglik double"))
-    every = reduce(DataFrame.union, parts)
-    return every.groupBy("id", "lang").agg((F.sum("n") / shards).cast("long").alias("n"), F.sum("loglik").alias("loglik"))
-
-
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, margin: float = 1.15, shard_rows: int = 250_000) -> DataFrame:
-    """One row per id and language of ``docs``: id, lang, n_bytes, perplexity (of a byte), threshold, kept.
-
-    ``trusted`` has the ids of trusted documents (other columns ignored). Four fifths of them train the model; the perplexities
+                lo, hi = np.searchsorted(keys, [key_of(k, context, 0), key_of(k, context, 2 ** (8 * ORDER))])
+                arrays[(k, context)] = keys[lo:hi] - key_of(k, context, 0), values[lo:hi]
+        ids, langs, sizes, sums = [], [], [], []
+        for one in own["held"]:
+            some_ids, some_langs, texts = rows_of(one)
+            ids, langs = ids + some_ids, langs + some_langs
+            sizes += [len(x) for x in texts]
+            for part in grouped(iter(texts)):
+                grams, bounds = packed(part)
+                total = np.zeros(len(grams) + 1)
+                for lo in range(0, len(grams), 8 * CHUNK):
+                    one_each, back = np.unique(grams[lo : lo + 8 * CHUNK], return_inverse=True)
+                    total[lo + 1 : lo + 1 + len(back)] = log_probabilities(one_each, arrays)[back]
+                total = np.cumsum(total)
+                sums += (total[bounds[1:]] - total[bounds[:-1]]).tolist()
+        return pd.DataFrame({"id": pd.array(ids, "Int64"), "lang": langs, "n": sizes, "loglik": sums})
+
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add_up, "id long, lang string, n long, loglik double")
+
+
+def limits(known: DataFrame, by: list[str], quantile: float, margin: float) -> DataFrame:
+    """``own``: the ``quantile`` of the perplexities by ``by``, times ``margin``.
+
+    Taken from counts of log perplexities rounded to 1/BINS, so neither order nor partitioning matters, and no task holds more than the bins.
+    """
+    bins = known.groupBy(*by, F.round(F.log("perplexity") * BINS).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    whole = Window.partitionBy(*by)
+    upto = bins.withColumn("upto", F.sum("c").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(whole))
+    return upto.filter(F.col("upto") >= F.col("all") * quantile).groupBy(*by).agg((F.exp(F.min("bin") / BINS) * margin).alias("own"))
+
+
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, margin: float = 1.15) -> DataFrame:
+    """One row per row of ``docs``: id, lang, n_bytes, perplexity (of a byte), threshold, kept.
+
+    ``trusted`` has the ids of trusted documents (other columns ignored, null ids too). Four fifths of them train the model; the perplexities
     of the others give each language's ``quantile`` (those of all where there are no others). A language without such text, and a null
-    one, uses the quantile over all languages. A null or empty text
-    has no perplexity and isn't kept. Without any trusted text nothing has a threshold and everything with text is kept. Rows
-    that share an id and language are scored as one document. An empty table gives an empty result.
+    one, uses the quantile over all languages; a text at the limit is kept. A null or empty text
+    has no perplexity and isn't kept. Without any trusted text nothing has a threshold and everything with text is kept. Texts of any length are
+    scored whole. Rows that share an id are scored each by itself; all of them train the model if the id is trusted. Other columns are ignored, whatever
+    their names; id and language columns named as results are given back with ``_in`` after their names. An empty table gives an empty result.
     """
-    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    ids = cut(trusted.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct(), "trusted")
+    own = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
+    ids = cut(trusted.select(F.col(f"`{id_col}`").cast("long").alias("id")).filter("id is not null").distinct(), "trusted")
     # A fifth of the trusted texts stays out of the model, so their perplexities are those of unseen text.
     apart = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
-    model = train(keep_ids(docs, ids.filter(~apart), "id").select("text"))
-    scored = score(docs, model, shard_rows)
+    model = train(keep_ids(own, ids.filter(~apart), "id").select("text"))
+    scored = score(own, model)
     scored = cut(scored.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("loglik") / F.col("n")))), "scores")
     known = cut(keep_ids(scored, ids, "id").filter("perplexity is not null"), "known")
     if known.filter(apart).limit(1).count():
         known = known.filter(apart)
-    limit = (F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("own")
-    of_all = known.agg(limit).first()["own"]
-    by_language = known.filter("lang is not null").groupBy("lang").agg(limit)
-    found = scored.join(by_language, "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(of_all).cast("double")))
+    of_all = limits(known, [], quantile, margin).first()
+    by_language = limits(known.filter("lang is not null"), ["lang"], quantile, margin)
+    found = scored.join(by_language, "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(of_all and of_all["own"]).cast("double")))
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return found.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), F.col("n").alias("n_bytes"), "perplexity", "threshold", kept.alias("kept"))
+    drop(model)
+    out = ["n_bytes", "perplexity", "threshold", "kept"]
+    return found.select(F.col("id").alias(given_name(id_col, out)), F.col("lang").alias(given_name(lang_col, out)), F.col("n").alias("n_bytes"), "perplexity", "threshold", kept.alias("kept"))
