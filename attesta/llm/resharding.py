@@ -101,7 +101,7 @@ def plan_transfers(blocks: list[tuple[int, int, int]], capacities: list[int]) ->
     return new
 
 
-def reshard(docs: DataFrame, new_shards: int = 16, old_shards: int = 12, old_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", blocks: int = 4096, large: int = 256) -> DataFrame:
+def reshard(docs: DataFrame, new_shards: int = 16, old_shards: int = 12, old_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", blocks: int = 4096, large: int = 256, rows_per_bucket: int = 1024) -> DataFrame:
     """All rows and columns of ``docs`` with size, text_crc32, old_shard, shard, slot and block.
 
     Sizes are the text's UTF-8 bytes (null: none) plus one, however long. The law is ``bytes``: the new shards get equal capacities
@@ -109,7 +109,7 @@ def reshard(docs: DataFrame, new_shards: int = 16, old_shards: int = 12, old_col
     as null); without it the rows are taken as laid out by text hash over ``old_shards``. Equal texts of one old shard stay together unless
     their rows would not fit one new shard. ``slot`` numbers a shard's rows from 0 without gaps, by id hash; rows that share an id, or have none, take either
     order. Null ids hash as empty text. Input columns named as the output ones may be read (as ``old_col`` too) and are replaced. An empty table
-    gives an empty one.
+    gives an empty one. Rows of a shard lie by slot, in runs of about ``rows_per_bucket`` in one partition.
     """
     own, names = shield(docs)
     text = F.coalesce(F.col(names[text_col]).cast("string"), F.lit(""))
@@ -138,31 +138,36 @@ def reshard(docs: DataFrame, new_shards: int = 16, old_shards: int = 12, old_col
     schema = T.StructType([T.StructField("old_shard", T.IntegerType()), T.StructField("__key", T.StringType()), T.StructField("block", T.LongType()), T.StructField("shard", T.IntegerType())])
     routes = docs.sparkSession.createDataFrame([(old, key, i, new[i]) for i, (old, key, _) in enumerate(sizes)], schema)
     routed = keyed(sized).join(F.broadcast(routes), ["old_shard", "__key"]).withColumn("__place", F.col("__slicer"))
-    found = positions(routed, "shard", "__place", [names[id_col], "text_crc32"], "slot")
+    found = positions(routed, "shard", "__place", [names[id_col], "text_crc32"], "slot", rows_per_bucket)
     return unshield(found.withColumn("old_shard", F.when(F.col("old_shard") != NO_SHARD, F.col("old_shard"))), names, OUT)
 
 
-def rewrite_affected(resharded: DataFrame, path: str, rows_per_file: int = 16384) -> DataFrame:
-    """Write the new shards that don't hold exactly their old rows, by shard; returns all shards with an ``affected`` flag.
+def affected_shards(resharded: DataFrame) -> list[int]:
+    """The new shards that don't hold exactly their old rows."""
+    moved = (~F.col("old_shard").eqNullSafe(F.col("shard"))).cast("int")
+    came = resharded.groupBy("shard").agg(F.max(moved).alias("changed"))
+    went = resharded.filter("old_shard is not null").groupBy(F.col("old_shard").alias("shard")).agg(F.max(moved).alias("changed"))
+    return sorted(r["shard"] for r in came.unionByName(went).filter("changed = 1").select("shard").distinct().collect())  # a number a shard
+
 
-    Files of one shard hold its rows by slot. A shard that kept its rows and gained none isn't written: its files are right as they are. A task that
-    is lost is run again and writes the same rows.
+def rewrite_affected(resharded: DataFrame, path: str) -> list[int]:
+    """Write the new shards that don't hold exactly their old rows, by shard; returns them.
+
+    Each file holds rows of one shard by slot, as ``reshard`` laid them out. A shard that kept its rows and gained none isn't written: its files
+    are right as they are. A task that is lost is run again and writes the same rows.
     """
-    moved = (~F.col("old_shard").eqNullSafe(F.col("shard"))).cast("int")
-    came = resharded.groupBy("shard").agg(F.max(moved).alias("gained"))
-    went = resharded.filter("old_shard is not null").groupBy(F.col("old_shard").alias("shard")).agg(F.max(moved).alias("lost"))
-    state = came.join(went, "shard", "full").select("shard", (F.coalesce("gained", F.lit(0)) + F.coalesce("lost", F.lit(0)) > 0).alias("affected"))
-    state = cut(state, "affected")  # one row for each shard
-    rows = resharded.join(F.broadcast(state.filter("affected")), "shard", "left_semi")
-    rows.repartition("shard", F.expr(f"slot div {rows_per_file}")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return state
+    affected = affected_shards(resharded)
+    rows = resharded.filter(F.col("shard").isin(affected))
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return affected
 
 
-def reshard_files(docs: DataFrame, path: str, **settings) -> DataFrame:
+def reshard_files(docs: DataFrame, path: str, rows_per_file: int = 16384, **settings) -> DataFrame:
     """``reshard``, with the affected shards written to ``path``; rows of those shards are read back from the files."""
-    found = reshard(docs, **settings)
-    state = rewrite_affected(found, path)
-    held = F.broadcast(state.filter("affected"))  # one row for each shard
+    found = reshard(docs, rows_per_bucket=rows_per_file, **settings)
+    affected = rewrite_affected(found, path)
     schema = T.StructType(sorted(found.schema.fields, key=lambda x: x.name == "shard"))
-    written = docs.sparkSession.read.schema(schema).parquet(path).select(*found.columns)
-    return written.join(held, "shard", "left_semi").select(*found.columns).unionByName(found.join(held, "shard", "left_anti").select(*found.columns))
+    stayed = found.filter(~F.col("shard").isin(affected))
+    if not affected:
+        return stayed
+    return docs.sparkSession.read.schema(schema).parquet(path).select(*found.columns).unionByName(stayed)
