@@ -4,7 +4,7 @@ Strings of ``length`` bytes are equal only if their minimisers (the least hash a
 text is cut into segments whose strings share one minimiser, and only segments with a minimiser found twice or more
 go on. Equal segments are settled by their digest. Of the different ones under a minimiser, one of each
 goes into a block whose Burrows-Wheeler transform is searched for common prefixes by interval expansion (``prefix_intervals``).
-A minimiser with more than ``most_segments`` different segments, as around a passage in very many documents, would make
+A minimiser with more than ``most_segments`` different segments, or ``HOT_BYTES`` of them, as around a passage in very many documents, would make
 an unbounded block: its strings are counted by digest instead, which is exact as well.
 """
 
@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut, keep_ids, small_batches
+from attesta.llm.common import cut, drop, given_name, keep_ids, small_batches
 from attesta.llm.prefix_intervals import repeated_starts
 from attesta.llm.shingles import _tables, mix
 
@@ -27,6 +27,10 @@ GRAM = 16
 PIECE = 1 << 19
 #: Bytes of segments in one transform.
 BLOCK = 1 << 20
+#: Bytes of different segments of one minimiser that one transform takes.
+HOT_BYTES = 4 << 20
+_NO_ID = -(2**63)
+_KEY = ["id", "twin"]
 
 
 def _segments(text: bytes, length: int) -> Iterator[tuple]:
@@ -64,15 +68,15 @@ def _held_twice(grams: np.ndarray, first: np.ndarray, end: np.ndarray, anchor: n
 
 
 def segments(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, digest, id, start, size, many) of every segment."""
+    """(anchor, digest, id, twin, start, size, many) of every segment."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
             count = 0
-            for key, text in zip(batch["id"], batch["text"], strict=True):
+            for key, twin, text in zip(batch["id"], batch["twin"], batch["text"], strict=True):
                 for offset, first, stop, anchor, digest, many in _segments(bytes(text), length):
-                    out.append((key, len(first), offset + first, stop - first + length - 1, anchor, digest, many))
+                    out.append(((key, twin), len(first), offset + first, stop - first + length - 1, anchor, digest, many))
                     count += len(first)
                 if count > 100_000:
                     yield table(out)
@@ -81,14 +85,14 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
 
     def table(out: list[tuple]) -> pd.DataFrame:
         both = lambda k, kind: np.concatenate([x[k] for x in out]).astype(kind) if out else np.zeros(0, kind)
-        key = np.repeat(np.array([x[0] for x in out], np.int64), np.array([x[1] for x in out], np.int64)) if out else np.zeros(0, np.int64)
-        return pd.DataFrame({"anchor": both(4, np.uint64).view(np.int64), "digest": both(5, np.uint64).view(np.int64), "id": key, "start": both(2, np.int64), "size": both(3, np.int32), "many": both(6, bool)})
+        key = np.repeat(np.array([x[0] for x in out], np.int64).reshape(-1, 2), np.array([x[1] for x in out], np.int64), axis=0)
+        return pd.DataFrame({"anchor": both(4, np.uint64).view(np.int64), "digest": both(5, np.uint64).view(np.int64), "id": key[:, 0], "twin": key[:, 1], "start": both(2, np.int64), "size": both(3, np.int32), "many": both(6, bool)})
 
-    return docs.mapInPandas(run, "anchor long, digest long, id long, start long, size int, many boolean")
+    return docs.mapInPandas(run, "anchor long, digest long, id long, twin long, start long, size int, many boolean")
 
 
-def _expand(block: list[tuple[int, int, bytes, bool]], length: int) -> Iterator[tuple[int, int, int]]:
-    """Spans (id, from, to) of repeated strings among the segments of a block."""
+def _expand(block: list[tuple[tuple[int, int], int, bytes, bool]], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """Spans (id, twin, from, to) of repeated strings among the segments of a block."""
     raw = np.frombuffer(b"\0".join(x[2] for x in block) + b"\0", np.uint8).astype(np.int16) + 1
     sizes = np.array([len(x[2]) for x in block])
     ends = np.cumsum(sizes + 1) - 1
@@ -100,55 +104,60 @@ def _expand(block: list[tuple[int, int, bytes, bool]], length: int) -> Iterator[
         key, start, text, settled = block[at]
         if not settled:
             base = start - (int(ends[at]) - len(text))
-            yield key, base + lo, base + hi - 1 + length
+            yield *key, base + lo, base + hi - 1 + length
 
 
 def repeats(docs: DataFrame, length: int, most_segments: int) -> DataFrame:
-    """(id, lo, hi): spans of bytes covered by strings that start anywhere else too."""
+    """(id, twin, lo, hi): spans of bytes covered by strings that start anywhere else too."""
     every = cut(segments(docs, length), "every")
     shared = every.groupBy("anchor").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("c")).filter("c > 1").select("anchor")
     found = cut(every.join(shared, "anchor"), "segments")
-    kinds = found.groupBy("anchor", "digest", "size").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "start", "many")).alias("one"))
+    kinds = found.groupBy("anchor", "digest", "size").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "twin", "start", "many")).alias("one"))
     kinds = cut(kinds.select("anchor", "digest", "size", "times", "one.*"), "kinds")
     equal = found.join(kinds.filter("times > 1").select("anchor", "digest", "size"), ["anchor", "digest", "size"], "left_semi")
-    spans = equal.select("id", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
+    spans = equal.select(*_KEY, F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
 
-    differing = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("many") & (F.col("times") == 1)).alias("many")).filter("kinds > 1 or many").drop("many")
-    chosen = kinds.join(differing, "anchor").select("anchor", "id", "start", "size", (F.col("times") > 1).alias("settled"), (F.col("kinds") > most_segments).alias("hot"))
-    asked = cut(chosen.groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "size", "settled", "hot")).alias("asked")), "asked")
-    texts = keep_ids(docs, asked.select("id"), "id").join(asked, "id")
+    drop(every)
+    differing = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("bytes"), F.max(F.col("many") & (F.col("times") == 1)).alias("many")).filter("kinds > 1 or many").drop("many")
+    chosen = kinds.join(differing, "anchor").select("anchor", *_KEY, "start", "size", (F.col("times") > 1).alias("settled"), ((F.col("kinds") > most_segments) | (F.col("bytes") > HOT_BYTES)).alias("hot"))
+    asked = cut(chosen.groupBy(*_KEY).agg(F.collect_list(F.struct("anchor", "start", "size", "settled", "hot")).alias("asked")), "asked")
+    texts = keep_ids(docs, asked.select("id").distinct(), "id").join(asked, _KEY)
     piece = F.expr("substring(text, int(x.start) + 1, x.size)")
-    pieces = cut(texts.select("id", "text", F.explode("asked").alias("x")).select("x.anchor", "id", "x.start", piece.alias("piece"), "x.settled", "x.hot"), "pieces")
+    pieces = cut(texts.select(*_KEY, "text", F.explode("asked").alias("x")).select("x.anchor", *_KEY, "x.start", piece.alias("piece"), "x.settled", "x.hot"), "pieces")
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block: list[tuple] = []
         size, last = 0, None
         for batch in batches:
             out: list[tuple] = []
-            for anchor, key, start, text, settled in zip(batch["anchor"], batch["id"], batch["start"], batch["piece"], batch["settled"], strict=True):
+            for anchor, key, twin, start, text, settled in zip(batch["anchor"], batch["id"], batch["twin"], batch["start"], batch["piece"], batch["settled"], strict=True):
                 if anchor != last and size > BLOCK:
                     out += _expand(block, length)
                     block, size = [], 0
-                block.append((key, start, bytes(text), settled))
+                block.append(((key, twin), start, bytes(text), settled))
                 size += len(block[-1][2]) + 1
                 last = anchor
-            yield pd.DataFrame(out, columns=["id", "lo", "hi"])
-        yield pd.DataFrame(list(_expand(block, length)) if block else [], columns=["id", "lo", "hi"])
+            yield pd.DataFrame(out, columns=[*_KEY, "lo", "hi"])
+        yield pd.DataFrame(list(_expand(block, length)) if block else [], columns=[*_KEY, "lo", "hi"])
 
-    usual = pieces.filter("not hot").select("anchor", "id", "start", "piece", "settled")
-    grown = usual.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(expand, "id long, lo long, hi long")
+    usual = pieces.filter("not hot").select("anchor", *_KEY, "start", "piece", "settled")
+    grown = usual.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(expand, "id long, twin long, lo long, hi long")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, start, text, settled in zip(batch["id"], batch["start"], batch["piece"], batch["settled"], strict=True):
+            for key, twin, start, text, settled in zip(batch["id"], batch["twin"], batch["start"], batch["piece"], batch["settled"], strict=True):
                 text = bytes(text)
                 own = [hashlib.blake2b(text[k : k + length], digest_size=16).digest() for k in range(len(text) - length + 1)]
-                yield pd.DataFrame({"digest": own, "id": key, "start": np.arange(start, start + len(own)), "settled": settled})
+                yield pd.DataFrame({"digest": own, "id": key, "twin": twin, "start": np.arange(start, start + len(own)), "settled": settled})
 
-    single = pieces.filter("hot").select("id", "start", "piece", "settled").mapInPandas(windows, "digest binary, id long, start long, settled boolean")
+    single = pieces.filter("hot").select(*_KEY, "start", "piece", "settled").mapInPandas(windows, "digest binary, id long, twin long, start long, settled boolean")
     single = cut(single, "windows")
     twice = single.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest")
-    counted = single.filter("not settled").join(twice, "digest", "left_semi").select("id", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
+    starts = single.filter("not settled").join(twice, "digest", "left_semi").select(*_KEY, "start")
+    # Neighbouring starts make one span: a document's starts less their rank are equal within a run.
+    rank = F.dense_rank().over(Window.partitionBy(*_KEY).orderBy("start"))
+    runs = starts.withColumn("run", F.col("start") - rank).groupBy(*_KEY, "run").agg(F.min("start").alias("lo"), (F.max("start") + length).alias("hi"))
+    counted = runs.select(*_KEY, "lo", "hi")
     return spans.union(grown).union(counted)
 
 
@@ -157,12 +166,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are UTF-8 bytes; a null one is empty. ``spans`` are the maximal removed runs [lo, hi) and ``kept_bytes`` the others
     joined, which may not be whole characters. Strings are judged on the input, matches never cross documents, and texts
-    shorter than ``length`` lose nothing. Ids must be unique among rows (null ids count as one more id); other columns are ignored. An empty
-    table gives an empty result.
+    shorter than ``length`` lose nothing; of tied strings none stays. Very long texts go in pieces that overlap, whole. Rows that share an id, and rows
+    without one, are documents of their own: repeated rows are covered by each other. Other columns are ignored, whatever their names; an id column named as
+    a result is given back with ``_in`` after its name. An empty table gives an empty result.
     """
-    docs = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    docs = small_batches(docs).select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
+    # Rows that share an id are told apart by their texts; equal texts have equal results.
+    shared = cut(docs.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("id"), "shared-ids")
+    twin = F.lit(0).cast("long")
+    if shared.limit(1).count():
+        marked = docs.join(shared.withColumn("again", F.lit(True)), "id", "left")
+        docs, twin = marked, F.when(F.col("again"), F.xxhash64("text")).otherwise(twin)
+    docs = docs.select("id", twin.alias("twin"), "text")
     spans = cut(repeats(docs, length, most_segments), "spans")
-    own = cut(spans.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("found")), "spans-by-id")
+    own = cut(spans.groupBy(*_KEY).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("found")), "spans-by-id")
+    drop(spans)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -183,7 +201,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "spans", "kept_bytes"])
 
     schema = "id long, n_bytes long, n_removed long, spans array<struct<lo:bigint,hi:bigint>>, kept_bytes binary"
-    clean = keep_ids(docs, own.select("id"), "id", "left_anti").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)").alias("spans"), F.col("text").alias("kept_bytes"))
-    hit = keep_ids(docs, own.select("id"), "id").join(own, "id").mapInPandas(apply, schema)
+    clean = own.select("id").distinct()
+    hit = keep_ids(docs, clean, "id").join(own, _KEY, "left").mapInPandas(apply, schema)
+    clean = keep_ids(docs, clean, "id", "left_anti").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)").alias("spans"), F.col("text").alias("kept_bytes"))
     found = clean.unionByName(hit)
-    return found.withColumn("id", F.when(F.col("id") != -(2**63), F.col("id"))).withColumnRenamed("id", id_col)
+    name = given_name(id_col, ["n_bytes", "n_removed", "spans", "kept_bytes"])
+    return found.withColumn("id", F.when(F.col("id") != _NO_ID, F.col("id"))).withColumnRenamed("id", name)
