@@ -498,3 +498,25 @@ def test_kneser_ney_equals_its_recursion(spark):
     found = {r["id"]: math.exp(-r["loglik"] / r["n"]) for r in kneser_ney.score(rows, model).collect()}
     for k, expected in enumerate(brute_kneser_ney(texts, asked)):
         assert math.isclose(found[k], expected, rel_tol=1e-5)
+
+
+def test_suffix_dedup_of_rows_that_share_ids(spark, monkeypatch):
+    """Shared, null and repeated ids, periodic texts, and texts over the length of a piece."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 3000)
+    rng = np.random.default_rng(8)
+    text = lambda n: bytes(rng.choice(list(b"abcdefgh "), n).astype(np.uint8)).decode()
+    passage = text(300)
+    rows = [(k % 4, text(150) + passage + text(150)) for k in range(12)] + [(None, text(400)), (None, "ab" * 900), (2, None), (3, text(2500)), (7, text(260))] + [(8, text(220))] * 2
+    times = collections.Counter(t.encode()[k : k + 200] for _, t in rows for t in [t or ""] for k in range(len(t) - 199))
+
+    def expected(key, t):
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for k in range(len(raw) - 199):
+            if times[raw[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        return -1 if key is None else key, len(raw), int(gone.sum()), bytes(np.frombuffer(raw, np.uint8)[~gone])
+
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((-1 if r[0] is None else r[0], r[1], r[2], bytes(r["kept_bytes"])) for r in found) == sorted(expected(*r) for r in rows)
