@@ -158,11 +158,11 @@ def rewrite_affected(resharded: DataFrame, path: str) -> list[int]:
     """
     affected = affected_shards(resharded)
     rows = resharded.filter(F.col("shard").isin(affected))
-    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows.write.partitionBy("shard").parquet(path)
     return affected
 
 
-def reshard_files(docs: DataFrame, path: str, rows_per_file: int = 16384, **settings) -> DataFrame:
+def reshard_files(docs: DataFrame, path: str, rows_per_file: int = 4096, **settings) -> DataFrame:
     """``reshard``, with the affected shards written to ``path``; rows of those shards are read back from the files."""
     found = reshard(docs, rows_per_bucket=rows_per_file, **settings)
     affected = rewrite_affected(found, path)
