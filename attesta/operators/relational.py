@@ -80,21 +80,35 @@ def largest_remainder(strata: DataFrame, name: str, size: str, total: int) -> Da
     return rows.withColumn("allocation", given.cast("long")).drop("__all", "__rest", "__left", "__at", "base")
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataFrame:
-    """(v, label): least vertex reachable, by label propagation with pointer jumping."""
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(v, label): least vertex reachable, by label propagation with pointer jumping until nothing changes."""
     both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b), F.col(a))).distinct()
     both = settle(both)
     labels = settle(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
-    for _ in range(most_rounds):
+    while True:
         heard = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("heard"))
         step = labels.join(heard, labels["v"] == heard["a"]).select("v", F.col("label").alias("old"), F.least("label", "heard").alias("next"))
         far = labels.select(F.col("v").alias("next"), F.col("label").alias("far"))
         found = settle(step.join(far, "next", "left").select("v", "old", F.least("next", F.coalesce("far", "next")).alias("label")))
-        changed = found.filter("old <> label").limit(1).count()
         labels = found.select("v", "label")
-        if not changed:
+        if not found.filter("old <> label").limit(1).count():
             return labels
-    raise RuntimeError("components did not settle")
+
+
+def not_done(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key isn't among the finished ones: what a resumed run has still to do."""
+    return rows.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def shuffled(rows: DataFrame, seed: int, key: str) -> DataFrame:
+    """``rows`` with ``place``, a seeded hash of the key, in its order: a shuffle that any run repeats."""
+    return rows.withColumn("place", F.sha2(F.concat_ws("|", F.lit(str(seed)), key), 256)).orderBy("place", key)
+
+
+def shuffled_batches(rows: DataFrame, seed: int, batch: str, key: str) -> DataFrame:
+    """``place`` from 1 of each row in its batch, shuffled by the seed plus the batch number."""
+    order = F.sha2(F.concat_ws("|", (F.lit(seed) + F.col(batch)).cast("string"), key), 256)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(batch).orderBy(order, key)).cast("long"))
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from attesta.plans import queries  # noqa: F401  registers
+from attesta.plans import evidence, queries  # noqa: F401  register
 from attesta.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def rows(frame, columns):
-    return sorted(tuple(None if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in frame[columns].astype(object).values.tolist())
+    return sorted(tuple("<null>" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in frame[columns].astype(object).values.tolist())
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are absent")
