@@ -32,21 +32,21 @@ class _Page(HTMLParser):
         named = dict(attrs)
         self.depth += tag in self.hidden
         self.in_title |= tag == "title"
-        if tag == "meta" and (key := (named.get("property") or named.get("name") or "").lower()):
-            self.meta[key] = named.get("content") or ""
+        if tag == "meta" and named.get("content"):
+            key = named.get("property") or named.get("name")
+            if key:
+                self.meta[key.lower()] = named["content"]
 
     def handle_endtag(self, tag):
         self.depth -= tag in self.hidden and self.depth > 0
         self.in_title &= tag != "title"
 
     def handle_data(self, data):
-        if self.depth:
-            return
-        value = re.sub(r"\s+", " ", unescape(data)).strip()
-        if value and len(value) >= self.shortest:
-            self.text.append(value)
-            if self.in_title:
-                self.title.append(value)
+        words = " ".join(unescape(data).split())
+        if self.in_title and words:
+            self.title.append(words)  # also within a hidden tag
+        if not self.depth and words and len(words) >= self.shortest:
+            self.text.append(words)
 
 
 def read_page(html: str | None, evidence: bool = False) -> _Page:

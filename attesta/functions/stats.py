@@ -25,10 +25,11 @@ def wilson(successes: Column, total: Column) -> tuple[Column, Column]:
     return bound(centre - half), bound(centre + half)
 
 
-def confusion(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, n) for every seen value of either side, zero-filled; labels are few."""
+def confusion(pairs: DataFrame, a: str, b: str, labels_a: list, labels_b: list) -> DataFrame:
+    """(a, b, n) for every pair of the given labels, zero-filled; other values aren't counted."""
+    kinds = dict(pairs.dtypes)
+    grid = pairs.sparkSession.createDataFrame([(x, y) for x in labels_a for y in labels_b], f"`{a}` {kinds[a]}, `{b}` {kinds[b]}")
     rows = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    grid = rows.select(a).distinct().join(rows.select(b).distinct(), F.lit(True))
     return grid.join(rows, [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

@@ -23,9 +23,10 @@ TRACKING = ["fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source"]
 
 
 def normalize_name(name: Column, suffixes: list[str] = SUFFIXES) -> Column:
-    """Lower-case words of letters and digits, without company-form words."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")), " ")
-    return F.array_join(F.filter(words, lambda w: ~w.isin(*suffixes) & (w != "")), " ")
+    """Words of letters and digits without company-form words: HTML unescaped, case folded, form words dropped before punctuation."""
+    from attesta.functions.names import name_key
+
+    return name_key(name, "group" if suffixes is SUFFIXES_GROUP else "plain")
 
 
 def token_set(name: Column) -> Column:
@@ -34,8 +35,10 @@ def token_set(name: Column) -> Column:
 
 
 def acronym(name: Column) -> Column:
-    """First letters of the words other than the, and, of."""
-    return F.array_join(F.transform(F.filter(F.split(normalize_name(name), " "), lambda w: ~w.isin("the", "and", "of")), lambda w: w.substr(1, 1)), "")
+    """First letters of the words other than the, and, of, in the name with abbreviations spelled out."""
+    from attesta.functions.names import name_key
+
+    return F.array_join(F.transform(F.filter(F.split(name_key(name, "expanded"), " "), lambda w: ~w.isin("the", "and", "of")), lambda w: w.substr(1, 1)), "")
 
 
 def host(url: Column) -> Column:
@@ -51,19 +54,27 @@ def registrable_domain(name: Column) -> Column:
     return F.when(two.isin(*SECOND_LEVEL), three).otherwise(two)
 
 
+def _form_encoded(part: Column) -> Column:
+    """One spelling of a query's name or value: decoded, then percent-encoded with + for a space. What isn't valid encoding is taken literally."""
+    plain = F.coalesce(F.try_url_decode(part), F.replace(part, F.lit("+"), F.lit(" ")))
+    return F.replace(F.replace(F.url_encode(plain), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
     """One spelling of an http(s) URL; empty for anything else.
 
-    Scheme and host in lower case, no user, no port 80 or 443, no doubled or trailing slash, no tracking
-    parameters (order and blank values of the others stay), no fragment.
+    Stripped; scheme and host in lower case, no user, no port 80 or 443, no doubled or trailing slash, no tracking
+    parameters (order and blank values of the others stay, a bare name gets a blank value, all are encoded anew), no fragment.
     """
+    url = F.regexp_replace(url, r"^\s+|\s+$", "")
     scheme = F.lower(F.regexp_extract(url, r"(?i)^(https?)://", 1))
     port = F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?[^/?#:]+:(\d+)", 1)
     path = F.regexp_replace(F.regexp_extract(url, r"(?i)^https?://[^/?#]*([^?#]*)", 1), "/+", "/")
     path = F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise("/")
-    pairs = F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&")
-    name = lambda p: F.lower(F.substring_index(p, "=", 1))
-    query = F.array_join(F.filter(pairs, lambda p: (p != "") & ~name(p).isin(*TRACKING) & ~name(p).startswith("utm_")), "&")
+    pairs = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")
+    split = F.transform(pairs, lambda p: F.struct(_form_encoded(F.substring_index(p, "=", 1)).alias("k"), F.when(F.contains(p, F.lit("=")), _form_encoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1))).otherwise("").alias("v")))
+    kept = F.filter(split, lambda x: ~F.lower(x["k"]).isin(*TRACKING) & ~F.lower(x["k"]).startswith("utm_"))
+    query = F.array_join(F.transform(kept, lambda x: F.concat(x["k"], F.lit("="), x["v"])), "&")
     site = F.concat(host(url), F.when((port != "") & ~port.isin("80", "443"), F.concat(F.lit(":"), port)).otherwise(""))
     whole = F.concat(scheme, F.lit("://"), site, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.when(host(url) != "", whole).otherwise("")

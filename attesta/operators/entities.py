@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import values as V
@@ -10,14 +10,38 @@ from attesta.functions.text import stable_id
 from attesta.operators import relational as R
 
 
-def alias_edges(names: DataFrame, block: str, name: str, alias) -> DataFrame:
-    """(block, a, b): pairs of a block's distinct names, a before b, of which one is an alias of the other in either direction.
+def alias_candidates(names: DataFrame, block: str, name: str, ratio: float) -> DataFrame:
+    """(block, a, b), a before b: pairs of a block's distinct names that may be aliases; no alias is missing.
 
-    Blocks are domains or states, whose names are few; all of a block's pairs are the question.
+    Names hold strings of three characters. A close match at ``ratio`` leaves at most ``u = (1 - ratio) (la + lb)`` characters unmatched, each of which
+    spoils three strings at most, so a name shares all but that many of its strings with the other; a name inside another shares all of its own. So
+    one of a name's rarest strings, as many as may be spoiled and one more, is among the other's. Acronyms meet by the acronym.
     """
     own = names.select(block, name).distinct()
-    left, right = own.select(block, F.col(name).alias("a")), own.select(block, F.col(name).alias("b"))
-    return left.join(right, block).filter("a < b").filter(alias("a", "b") | alias("b", "a"))
+    length = F.length(name)
+    grams = F.when(length >= 3, F.transform(F.sequence(F.lit(1), F.greatest(length - 2, F.lit(1))), lambda k: F.substr(name, k, F.lit(3)))).otherwise(F.array(F.col(name)))
+    each = own.select(block, name, length.alias("__n"), F.explode(F.array_distinct(grams)).alias("gram"))
+    counted = each.join(each.groupBy(block, "gram").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1"), [block, "gram"])
+    # The longer of two close names is at most ratio / (2 - ratio) times as short, so u follows from one length.
+    spoiled = F.ceil(3 * (1 - ratio) * F.col("__n") * (1 + (2 - ratio) / ratio)) + 1
+    rarest = Window.partitionBy(block, name).orderBy("__c", "gram")  # a name's strings
+    probes = counted.withColumn("__at", F.row_number().over(rarest)).filter(F.col("__at") <= spoiled).select(block, "gram", F.col(name).alias("x"))
+    met = probes.join(counted.select(block, "gram", F.col(name).alias("y")), [block, "gram"]).select(block, "x", "y")
+    initials = F.array_join(F.transform(F.filter(F.split(name, " "), lambda w: (w != "") & ~w.isin("the", "and", "of")), lambda w: w.substr(1, 1)), "")
+    short = own.select(block, F.col(name).alias("x"), initials.alias("key")).filter("key <> ''")
+    joined = own.select(block, F.col(name).alias("y"), F.replace(name, F.lit(" "), F.lit("")).alias("key"))
+    met = met.unionByName(short.join(joined, [block, "key"]).select(block, "x", "y"))
+    return met.filter("x <> y").select(block, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def alias_edges(names: DataFrame, block: str, name: str, alias, least_length: int = 6, ratio: float = 0.91) -> DataFrame:
+    """(block, a, b): pairs of a block's distinct names, a before b, of which one is an alias of the other in either direction.
+
+    ``alias`` is ``alias_udf`` of the same ``least_length`` (three at least) and ``ratio``.
+    """
+    if least_length < 3:
+        raise ValueError("names inside others are found from three characters on")
+    return alias_candidates(names, block, name, ratio).filter(alias("a", "b") | alias("b", "a"))
 
 
 def name_clusters(names: DataFrame, block: str, name: str, alias) -> DataFrame:

@@ -11,6 +11,20 @@ from attesta.functions import text
 from attesta.session import settle
 
 
+def numbered(df: DataFrame, order: list[str], into: str, start: int = 1) -> DataFrame:
+    """Numbers from ``start`` in order, for tables of any size: ranges of the order are numbered each by itself and shifted by the rows before them.
+
+    Only a count for each partition meets in one place.
+    """
+    ranged = df.repartitionByRange(*order)
+    ranged = settle(ranged.withColumn("__part", F.spark_partition_id()))  # the ranges are sampled, so they are fixed before they are counted
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.join(F.broadcast(bases), "__part").withColumn(into, (F.col("__base") + at + (start - 1)).cast("long")).drop("__part", "__base")
+
+
 def ordinal(df: DataFrame, order: list, into: str, start: int = 1) -> DataFrame:
     """Numbers from ``start`` in order. The rows go to one task: for tables of bounded size."""
     return df.withColumn(into, F.row_number().over(Window.orderBy(*order)) + (start - 1))
@@ -70,14 +84,32 @@ def fieldwise(a: str, b: str, c: str, fields: list[str]) -> list[Column]:
 def largest_remainder(strata: DataFrame, name: str, size: str, total: int) -> DataFrame:
     """Whole allocations that sum to ``total``: floors, then one more by descending fraction, ties by descending name, within each size.
 
-    Strata are few; shares are compared as whole numbers.
+    Strata are few; shares are compared as whole numbers. Raises where the strata can't hold ``total`` in this way.
     """
     every = Window.partitionBy()
     rows = strata.withColumn("__all", F.sum(size).over(every)).withColumn("base", F.expr(f"{size} * {total} div __all").cast("long"))
     rows = rows.withColumn("__rest", F.col(size) * total - F.col("base") * F.col("__all")).withColumn("__left", F.lit(total) - F.sum("base").over(every))
     rows = rows.withColumn("__at", F.row_number().over(Window.orderBy(F.desc("__rest"), F.desc(name))))
     given = F.least(F.col(size), F.col("base") + (F.col("__at") <= F.col("__left")).cast("long"))
-    return rows.withColumn("allocation", given.cast("long")).drop("__all", "__rest", "__left", "__at", "base")
+    rows = rows.withColumn("allocation", given.cast("long"))
+    short = F.sum("allocation").over(every) < total
+    rows = rows.withColumn("allocation", F.when(short, F.raise_error(F.lit("the strata are smaller than their allocation")).cast("long")).otherwise(F.col("allocation")))
+    return rows.drop("__all", "__rest", "__left", "__at", "base")
+
+
+def sample_strata(rows: DataFrame, strata: DataFrame, key: str, seed: str) -> DataFrame:
+    """Rows of each stratum, as many as its ``allocation``, first by a seeded hash of the key.
+
+    ``strata`` (stratum, size, allocation) is bounded by the caller. Only rows whose hash lies a little above their stratum's share are ranked;
+    should a stratum then lack rows, which is all but impossible, everything is ranked.
+    """
+    placed = rows.join(F.broadcast(strata), "stratum").withColumn("__place", F.sha2(F.concat_ws("|", F.lit(seed), key), 256))
+    share = F.conv(F.substring("__place", 1, 8), 16, 10).cast("double") / F.lit(2**32)
+    near = placed.filter(share <= (F.col("allocation") + 8 * F.sqrt("allocation") + 40) / F.col("size"))
+    short = near.groupBy("stratum", "allocation").agg(F.count(F.lit(1)).alias("n")).filter("n < allocation").limit(1).count()
+    missing = strata.filter("allocation > 0").join(near.select("stratum").distinct(), "stratum", "left_anti").limit(1).count()
+    order = Window.partitionBy("stratum").orderBy("__place", key)
+    return (placed if short or missing else near).withColumn("__at", F.row_number().over(order)).filter("__at <= allocation").drop("__at", "__place")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

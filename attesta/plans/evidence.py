@@ -464,10 +464,10 @@ _ROWS = "SELECT p_brand || '-' || p_size AS domain, lower(p_type) AS name, p_nam
 
 
 @query(
-    "entity_count_bounds",
+    "entity_bounds",
     f"WITH r AS ({_ROWS}), g AS (SELECT domain, count(DISTINCT (name, state)) AS pairs, bool_and(visibility = 'dedicated_business_domain') AS own, count(DISTINCT name) AS k FROM r GROUP BY 1) SELECT sum(CASE WHEN own THEN 1 ELSE pairs END)::BIGINT AS lower, sum(CASE WHEN own AND k = 1 THEN 1 ELSE pairs END)::BIGINT AS conservative, sum(pairs)::BIGINT AS upper, greatest(1, sum(pairs) - 40)::BIGINT AS least FROM g",
 )
-def entity_count_bounds(spark, d):
+def entity_bounds(spark, d):
     rows = table(spark, d, "part").select(F.concat_ws("-", "p_brand", "p_size").alias("domain"), N.name_key(F.col("p_type"), "forms").alias("name"), F.col("p_name").alias("state"), F.when(F.col("p_size") > 25, "dedicated_business_domain").otherwise("directory").alias("visibility"))
     clusters = E.name_clusters(rows.filter("name <> ''"), "domain", "name", text.alias_udf(6, 0.91, True))
     least, most = E.sensitivity(F.col("upper"), F.lit(40))

@@ -191,11 +191,12 @@ def source_kind(spark, d):
     return _pages(spark, d).select("page_id", kind.alias("kind"))
 
 
-@query("review_scope_filter", "SELECT page_id, page_id % 500 BETWEEN 200 AND 399 AS ok_pilot, page_id % 500 BETWEEN 200 AND 299 AS ok_long_tail FROM pages WHERE contains(lower(html), 'the') AND page_id % 500 BETWEEN 200 AND 399")
+@query("review_scope_filter", "SELECT page_id, status BETWEEN 200 AND 399 AS ok_pilot, status BETWEEN 200 AND 299 AS ok_long_tail FROM (SELECT page_id, html, 100 + least(length(html) // 10, 499) AS status FROM pages) WHERE contains(lower(html), 'the') AND status BETWEEN 200 AND 399")
 def review_scope(spark, d):
-    status = F.col("page_id") % 500
-    pages = table(spark, d, "pages").filter(F.lower("html").contains("the") & status.between(200, 399))
-    return pages.select("page_id", status.between(200, 399).alias("ok_pilot"), status.between(200, 299).alias("ok_long_tail"))
+    """Both definitions of success, on a status made from the page's length as the table has none."""
+    pages = table(spark, d, "pages").withColumn("status", 100 + F.least(F.expr("length(html) div 10"), F.lit(499)))
+    kept = pages.filter(F.lower("html").contains("the") & F.col("status").between(200, 399))
+    return kept.select("page_id", F.col("status").between(200, 399).alias("ok_pilot"), F.col("status").between(200, 299).alias("ok_long_tail"))
 
 
 @query(
@@ -241,13 +242,12 @@ def provider_url_overlap(spark, d):
 
 @query(
     "pooled_vs_macro_jaccard",
-    f"SELECT s_nationkey AS nation, count(*) AS queries, sum(n_both)::BIGINT AS both_n, sum(n_either)::BIGINT AS either_n, sum(n_both) / nullif(sum(n_either), 0) AS pooled, sum((n_both * 1000000) // nullif(n_either, 0)) / count(*) AS macro_all_ppm, sum((n_both * 1000000) // nullif(n_either, 0)) / nullif(count(*) FILTER (n_either > 0), 0) AS macro_seen_ppm FROM ({SQL_OVERLAP}) JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1",
+    f"SELECT s_nationkey AS nation, count(*) AS queries, sum(n_both)::BIGINT AS both_n, sum(n_either)::BIGINT AS either_n, sum(n_both) / nullif(sum(n_either), 0) AS pooled, round(sum(n_both / nullif(n_either, 0)) / count(*), 9) AS macro_all, round(avg(n_both / nullif(n_either, 0)), 9) AS macro_seen FROM ({SQL_OVERLAP}) JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1",
 )
 def pooled_vs_macro(spark, d):
-    """Ratios of each query are whole parts per million, so that their sum does not depend on its order."""
+    """Means to nine decimals, so that the order of their sums does not show."""
     rows = _overlap(spark, d).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    rows = rows.withColumn("ppm", F.expr("case when n_either > 0 then n_both * 1000000 div n_either end"))
-    return rows.groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("queries"), F.sum("n_both").alias("both_n"), F.sum("n_either").alias("either_n"), F.try_divide(F.sum("n_both"), F.sum("n_either")).alias("pooled"), (F.sum("ppm") / F.count(F.lit(1))).alias("macro_all_ppm"), F.try_divide(F.sum("ppm"), F.count_if(F.col("n_either") > 0)).alias("macro_seen_ppm"))
+    return rows.groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("queries"), F.sum("n_both").alias("both_n"), F.sum("n_either").alias("either_n"), F.try_divide(F.sum("n_both"), F.sum("n_either")).alias("pooled"), F.round(F.sum("jaccard") / F.count(F.lit(1)), 9).alias("macro_all"), F.round(F.avg("jaccard"), 9).alias("macro_seen"))
 
 
 @query("provider_attribution", "SELECT n_nationkey, CASE WHEN c AND s THEN 'both' WHEN c THEN 'first_only' WHEN s THEN 'second_only' ELSE 'neither' END AS origin FROM (SELECT n_nationkey, n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) AS c, n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000) AS s FROM nation)")
@@ -298,9 +298,12 @@ def wilson_interval(spark, d):
     return rows.select("lang", "successes", "total", low.alias("low"), high.alias("high"))
 
 
-@query("confusion_matrix", "WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders WHERE o_totalprice > 400000 GROUP BY 1, 2)\nSELECT x.a AS o_orderstatus, y.b AS o_orderpriority, coalesce(n, 0) AS n FROM (SELECT DISTINCT a FROM c) x CROSS JOIN (SELECT DISTINCT b FROM c) y LEFT JOIN c ON c.a = x.a AND c.b = y.b")
+ORDER_LABELS = (["F", "O", "P"], ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
+
+
+@query("confusion_matrix", f"SELECT x.a AS o_orderstatus, y.b AS o_orderpriority, coalesce(n, 0) AS n FROM (SELECT unnest([{_sql_list(ORDER_LABELS[0])}]) AS a) x CROSS JOIN (SELECT unnest([{_sql_list(ORDER_LABELS[1])}]) AS b) y LEFT JOIN (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) c ON c.o_orderstatus = x.a AND c.o_orderpriority = y.b")
 def confusion_matrix(spark, d):
-    return stats.confusion(table(spark, d, "orders").filter("o_totalprice > 400000"), "o_orderstatus", "o_orderpriority")
+    return stats.confusion(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority", *ORDER_LABELS)
 
 
 @query(
@@ -323,28 +326,8 @@ def weighted_rate(spark, d):
     return rows.withColumn("inclusion_probability", F.col("n") / F.col("size")).withColumn("weighted_yes", F.col("size") * F.col("yes") / F.col("n"))
 
 
-@query(
-    "bootstrap_ci",
-    """
-WITH r AS (SELECT lang, quality, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM labels JOIN documents USING (doc_id)),
-draws AS (SELECT b.range AS b, r.lang, r.n, ('0x' || substr(md5('7|' || b.range || '|' || r.lang || '|' || r.i), 1, 8))::BIGINT % r.n AS pick FROM r, range(50) b),
-rates AS (SELECT b, sum(quality)::BIGINT AS yes, count(*) AS total FROM draws JOIN r ON r.lang = draws.lang AND r.i = draws.pick GROUP BY 1)
-SELECT min(yes) FILTER (k = 1) AS low_yes, min(yes) FILTER (k = 47) AS high_yes, min(total) AS total FROM (SELECT *, row_number() OVER (ORDER BY yes, b) - 1 AS k FROM rates)""",
-)
+@query("bootstrap_ci")
 def bootstrap_ci(spark, d):
-    """Stratified percentile bootstrap with hash-driven draws: 50 replicates, order statistics 1 and 47."""
-    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("lang")))
-    draws = rows.select("lang", "n", "i", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("b"))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("7"), "b", "lang", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
-    drawn = draws.select("b", "lang", pick.alias("i")).join(rows.select("lang", "i", "quality"), ["lang", "i"])
-    rates = drawn.groupBy("b").agg(F.sum("quality").alias("yes"), F.count(F.lit(1)).alias("total"))
-    ranked = R.ordinal(rates, ["yes", "b"], "k", 0)
-    return ranked.agg(F.min(F.when(F.col("k") == 1, F.col("yes"))).alias("low_yes"), F.min(F.when(F.col("k") == 47, F.col("yes"))).alias("high_yes"), F.min("total").alias("total"))
-
-
-@query("weighted_bootstrap_ci")
-def weighted_bootstrap_ci(spark, d):
     """The weighted rate of good labels with its interval of 10,000 replicates; a language's weight is its documents over its labels."""
     docs = table(spark, d, "documents").select("doc_id", "lang")
     sampled = table(spark, d, "labels").join(docs, "doc_id").select("lang", (F.col("quality") == 1).alias("yes"))
@@ -376,10 +359,9 @@ def largest_remainder_alloc(spark, d):
     f"WITH al AS ({SQL_ALLOCATION}), k AS (SELECT doc_id, stratum, allocation, size, row_number() OVER (PARTITION BY stratum ORDER BY sha256('20260730|' || doc_id), doc_id) AS k FROM (SELECT doc_id, lang || '|' || source AS stratum FROM documents) JOIN al USING (stratum))\nSELECT doc_id, stratum, allocation / size AS inclusion_probability, ('0x' || substr(md5('second|' || doc_id), 1, 8))::BIGINT % 4 = 0 AS double_review FROM k WHERE k.k <= allocation",
 )
 def stratified_sample(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.concat_ws("|", "lang", "source").alias("stratum")).join(F.broadcast(_allocation(spark, d)), "stratum")
-    order = Window.partitionBy("stratum").orderBy(F.sha2(F.concat_ws("|", F.lit("20260730"), "doc_id"), 256), "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", F.concat_ws("|", "lang", "source").alias("stratum"))
     second = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("second"), "doc_id")), 1, 8), 16, 10).cast("long") % 4 == 0
-    kept = docs.withColumn("at", F.row_number().over(order)).filter("at <= allocation")
+    kept = R.sample_strata(docs, _allocation(spark, d), "doc_id", "20260730")
     return kept.select("doc_id", "stratum", (F.col("allocation") / F.col("size")).alias("inclusion_probability"), second.alias("double_review"))
 
 
@@ -440,15 +422,15 @@ def label_reason_crosstab(spark, d):
 
 @query(
     "row_quarantine",
-    "SELECT doc_id, CASE WHEN flags = '' THEN 'valid' ELSE 'invalid' END AS status, flags FROM (SELECT doc_id, array_to_string(list_filter([CASE WHEN lang NOT IN ('en', 'fr') THEN 'lang_enum' ELSE '' END, CASE WHEN length(text) > 3000 THEN 'max_length' ELSE '' END, CASE WHEN n_chars <> length(text) THEN 'count' ELSE '' END], lambda x: x <> ''), '|') AS flags FROM documents WHERE doc_id % 3 <> 0)\nUNION ALL SELECT doc_id, 'missing', '' FROM documents WHERE doc_id % 3 = 0",
+    "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN flags = '' THEN 'valid' ELSE 'invalid' END AS status, CASE WHEN l.doc_id IS NULL THEN '' ELSE flags END AS flags FROM (SELECT doc_id, array_to_string(list_filter([CASE WHEN lang NOT IN ('en', 'fr') THEN 'lang_enum' ELSE '' END, CASE WHEN length(text) > 3000 THEN 'max_length' ELSE '' END, CASE WHEN n_chars <> length(text) THEN 'count' ELSE '' END], lambda x: x <> ''), '|') AS flags FROM documents) LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)",
 )
 def row_quarantine(spark, d):
-    """Answers for two thirds of the expected rows: valid, invalid with flags, or missing; nothing is relabelled."""
+    """Documents that were answered (have a label): valid, or invalid with flags; the others are missing. Nothing is relabelled."""
     expected = table(spark, d, "documents")
-    given = expected.filter("doc_id % 3 <> 0").select("doc_id", "lang", "text", "n_chars", F.lit(True).alias("given"))
+    answered = table(spark, d, "labels").select("doc_id").distinct().withColumn("given", F.lit(True))
     flags = F.array_compact(F.array(F.when(~F.col("lang").isin("en", "fr"), "lang_enum"), F.when(F.length("text") > 3000, "max_length"), F.when(F.col("n_chars") != F.length("text"), "count")))
-    rows = expected.select("doc_id").join(given, "doc_id", "left")
-    joined = F.when(F.col("given"), F.array_join(flags, "|")).otherwise("")
+    rows = expected.select("doc_id", F.array_join(flags, "|").alias("found")).join(answered, "doc_id", "left")
+    joined = F.when(F.col("given"), F.col("found")).otherwise("")
     return rows.select("doc_id", F.when(F.col("given").isNull(), "missing").when(joined == "", "valid").otherwise("invalid").alias("status"), joined.alias("flags"))
 
 
@@ -500,26 +482,6 @@ def forbidden_pattern_scan(spark, d):
 @query(
     "best_baseline_match",
     """
-WITH b AS (SELECT p_brand AS base, min(p_partkey) AS pos, list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))) AS t FROM (SELECT * FROM part WHERE p_partkey <= 60) GROUP BY 1),
-c AS (SELECT p_partkey, string_split(p_name, ' ') AS t FROM part),
-j AS (SELECT p_partkey, base, len(list_intersect(c.t, b.t)) AS i, len(list_distinct(list_concat(c.t, b.t))) AS u, pos FROM c JOIN b ON len(list_intersect(c.t, b.t)) > 0)
-SELECT p_partkey, base, i / u AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY i / u DESC, pos) AS k FROM j) WHERE k = 1""",
-)
-def best_baseline_match(spark, d):
-    """Nearest by token overlap: tokens join through an inverted index, so only pairs that share one are scored."""
-    part = table(spark, d, "part").select("p_partkey", "p_brand", F.split("p_name", " ").alias("t"))
-    base = part.filter("p_partkey <= 60").groupBy(F.col("p_brand").alias("base")).agg(F.min("p_partkey").alias("pos"), F.array_distinct(F.flatten(F.collect_list("t"))).alias("bt"))
-    index = base.select("base", "pos", F.size("bt").alias("nb"), F.explode("bt").alias("w"))
-    words = part.select("p_partkey", F.size(F.array_distinct("t")).alias("n"), F.explode(F.array_distinct("t")).alias("w"))
-    pairs = words.join(index, "w").groupBy("p_partkey", "base", "pos", "n", "nb").agg(F.count(F.lit(1)).alias("i"))
-    scored = pairs.withColumn("score", F.col("i") / (F.col("n") + F.col("nb") - F.col("i")))
-    best = scored.groupBy("p_partkey").agg(F.max_by(F.struct("base", "score"), F.struct("score", -F.col("pos"))).alias("x"))
-    return best.select("p_partkey", "x.base", "x.score")
-
-
-@query(
-    "baseline_match_all_parts",
-    """
 WITH p AS (SELECT p_partkey, p_brand, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 1)) AS t,
   trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS name FROM part),
 b AS (SELECT p_brand AS base, min(p_partkey) AS pos, list_sort(list_distinct(flatten(list(t)))) AS bt FROM p GROUP BY 1),
@@ -527,7 +489,7 @@ j AS (SELECT p_partkey, base, pos, array_to_string(bt, ' ') = name AS same, len(
 k AS (SELECT p_partkey, base, same, CASE WHEN same THEN 1.0::DOUBLE ELSE score END AS score, row_number() OVER (PARTITION BY p_partkey ORDER BY same DESC, score DESC, pos) AS k FROM j)
 SELECT p_partkey, CASE WHEN score >= 0.8 THEN base ELSE '' END AS base, CASE WHEN same THEN 'exact_normalized_name' WHEN score >= 0.8 THEN 'token_jaccard_review' ELSE '' END AS method, score FROM k WHERE k = 1""",
 )
-def baseline_match_all_parts(spark, d):
+def best_baseline_match(spark, d):
     """Each part's name against the words of every brand's parts: exact name first, else the nearest from 0.80 on."""
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_name")
     words = part.select("p_partkey", "p_brand", F.explode_outer(text.token_set(F.col("p_name"))).alias("w"))
@@ -538,10 +500,15 @@ def baseline_match_all_parts(spark, d):
 
 @query("blocked_alias_pairs")
 def blocked_alias_pairs(spark, d):
+    """Names that may be aliases within a nation, found by their rarest shared strings; only these are compared."""
+    from attesta.operators.entities import alias_edges
+
     rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", text.normalize_name(F.col("s_name")).alias("name"))
-    left, right = rows.select("s_nationkey", F.col("s_suppkey").alias("a"), F.col("name").alias("na")), rows.select("s_nationkey", F.col("s_suppkey").alias("b"), F.col("name").alias("nb"))
-    pairs = left.join(right, "s_nationkey").filter("a < b")
-    return pairs.filter(text.alias_udf(5, 0.88, False)("na", "nb")).select("s_nationkey", "a", "b")
+    edges = alias_edges(rows, "s_nationkey", "name", text.alias_udf(5, 0.88, False), 5, 0.88)
+    ids = rows.select("s_nationkey", "name", "s_suppkey")
+    different = edges.join(ids.withColumnRenamed("name", "a").withColumnRenamed("s_suppkey", "x"), ["s_nationkey", "a"]).join(ids.withColumnRenamed("name", "b").withColumnRenamed("s_suppkey", "y"), ["s_nationkey", "b"]).select("s_nationkey", "x", "y")
+    equal = ids.groupBy("s_nationkey", "name").agg(F.min("s_suppkey").alias("x")).join(ids, ["s_nationkey", "name"]).filter("x <> s_suppkey").select("s_nationkey", "x", F.col("s_suppkey").alias("y"))
+    return different.unionByName(equal).select("s_nationkey", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 @query(
@@ -560,12 +527,6 @@ def entity_components(spark, d):
     return found
 
 
-@query("entity_bounds", f"SELECT domain, count(DISTINCT host) AS hosts, count(DISTINCT section) AS sections, count(*) AS pages, greatest(1, count(DISTINCT host) - 1) AS lower_bound FROM (SELECT domain, {SQL_HOST} AS host, regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS section FROM ({SQL_PAGES})) GROUP BY 1")
-def entity_bounds(spark, d):
-    rows = _pages(spark, d).select("domain", text.host(F.col("url")).alias("host"), F.regexp_extract("url", "^https?://[^/]+/([^/?#]*)", 1).alias("section"))
-    return rows.groupBy("domain").agg(F.count_distinct("host").alias("hosts"), F.count_distinct("section").alias("sections"), F.count(F.lit(1)).alias("pages"), F.greatest(F.lit(1).cast("long"), F.count_distinct("host") - 1).alias("lower_bound"))
-
-
 @query("dedup_by_content_hash", "SELECT sha256(text) AS content, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1")
 def dedup_by_content_hash(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("content")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
@@ -606,11 +567,12 @@ def batching(spark, d):
     return batches(table(spark, d, "conversations").select("conv_id", "turn"), ["conv_id", "turn"], 10).select("batch", "conv_id", "turn")
 
 
-@query("disjoint_split", f"SELECT page_id, host, 'eval' AS split FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS k FROM (SELECT page_id, {SQL_HOST} AS host FROM pages) WHERE host NOT IN (SELECT {SQL_HOST} FROM pages WHERE page_id % 11 = 0)) WHERE k = 1")
+@query("disjoint_split", f"SELECT page_id, domain, 'eval' AS split FROM (SELECT page_id, domain, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS k FROM ({SQL_PAGES}) WHERE domain NOT IN (SELECT domain FROM ({SQL_PAGES}) WHERE contains(url, '//shop.') OR contains(url, 'example.net'))) WHERE k = 1")
 def disjoint_split(spark, d):
-    pages = table(spark, d, "pages").select("page_id", text.host(F.col("url")).alias("host"))
-    taken = pages.filter("page_id % 11 = 0").select("host").distinct()
-    return pages.join(taken, "host", "left_anti").groupBy("host").agg(F.min("page_id").alias("page_id")).select("page_id", "host", F.lit("eval").alias("split"))
+    """One page of each registrable domain that the development set (shops and the .net pages) doesn't touch."""
+    pages = _pages(spark, d).select("page_id", "url", "domain")
+    taken = pages.filter(F.contains("url", F.lit("//shop.")) | F.contains("url", F.lit("example.net"))).select("domain").distinct()
+    return pages.join(taken, "domain", "left_anti").groupBy("domain").agg(F.min("page_id").alias("page_id")).select("page_id", "domain", F.lit("eval").alias("split"))
 
 
 @query("manifest_fingerprint", "SELECT 'nation' AS name, count(*) AS n, sha256(string_agg(sha256(n_nationkey || '|' || n_name || '|' || n_regionkey), chr(10) ORDER BY sha256(n_nationkey || '|' || n_name || '|' || n_regionkey))) AS digest FROM nation UNION ALL SELECT 'region', count(*), sha256(string_agg(sha256(r_regionkey || '|' || r_name), chr(10) ORDER BY sha256(r_regionkey || '|' || r_name))) FROM region")

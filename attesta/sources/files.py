@@ -55,29 +55,21 @@ def read_batches(spark: SparkSession, path: str, collection: str, row_schema: st
     return rows
 
 
-def scan_array(text: str, variable: str) -> str | None:
-    """The JSON array after ``var <variable> =``, brackets matched outside strings."""
+def scan_array(text: str, variable: str) -> str:
+    """The JSON array after ``var <variable> =``, brackets matched outside strings. Raises without the variable or the array's end."""
     start = re.search(rf"\bvar\s+{re.escape(variable)}\s*=\s*(?=\[)", text)
     if not start:
-        return None
-    depth, quoted, at = 0, False, start.end()
-    while at < len(text):
-        c = text[at]
-        if quoted:
-            at += c == "\\"
-            quoted = c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "[]":
-            depth += 1 if c == "[" else -1
-            if not depth:
-                return text[start.end() : at + 1]
-        at += 1
-    return None
+        raise ValueError(f"no array {variable}")
+    depth, at = 0, start.end()
+    for token in re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]]', re.DOTALL).finditer(text, at):
+        depth += {"[": 1, "]": -1}.get(token[0], 0)
+        if not depth:
+            return text[at : token.end()]
+    raise ValueError(f"array {variable} doesn't end")
 
 
 def read_embedded_array(pages: DataFrame, html_col: str, variable: str, schema: str) -> DataFrame:
-    """Records of a JSON array in a page's script, with the page's other columns."""
+    """Records of a JSON array in a page's script, with the page's other columns. A page without the array, or with one that doesn't end, raises."""
 
     @F.pandas_udf("string")
     def literal(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -106,11 +98,16 @@ def write_atomic(df: DataFrame, path: str, fields: list[str], fmt: str = "csv")
     spark = df.sparkSession
     df.select(*fields).write.mode("overwrite").option("header", True).format(fmt).save(f"{path}.new")
     jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new, now, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path, f"{path}.old"))
+    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # The old table is moved aside, not deleted, until the new one stands: a crash in between leaves both.
+    if fs.exists(now):
+        fs.delete(old, True)
+        if not fs.rename(now, old):
+            raise OSError(f"cannot move {now} to {old}")
+    if not fs.rename(new, now):
+        raise OSError(f"cannot move {new} to {now}")
     fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"cannot move {new} to {old}")
 
 
 def is_stale(df: DataFrame, written: DataFrame) -> bool:
@@ -119,10 +116,10 @@ def is_stale(df: DataFrame, written: DataFrame) -> bool:
 
 
 def batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    """``batch`` from 1: rows in order, ``size`` to a batch. For tables of review work, which one task can number."""
-    from attesta.operators.relational import ordinal
+    """``batch`` from 1: rows in order, ``size`` to a batch."""
+    from attesta.operators.relational import numbered
 
-    return ordinal(df, order, "__at", 0).withColumn("batch", F.expr(f"__at div {size} + 1").cast("long")).drop("__at")
+    return numbered(df, order, "__at", 0).withColumn("batch", F.expr(f"__at div {size} + 1").cast("long")).drop("__at")
 
 
 def manifest(counts: dict[str, int], hashes: dict[str, str]) -> str:
@@ -136,6 +133,12 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """One row: SHA-256 over the sorted names and digests of a bounded set of files."""
-    both = F.array_sort(F.collect_list(F.concat_ws(":", "name", "sha256")))
-    return files.agg(F.sha2(F.array_join(both, "\n"), 256).alias("fingerprint"))
+    """One row: SHA-256 over name, a zero byte and the raw digest of each of a bounded set of files, by name."""
+    both = F.array_sort(F.collect_list(F.struct("name", "sha256")))
+    parts = F.transform(both, lambda f: F.concat(F.encode(f["name"], "utf-8"), F.unhex(F.lit("00")), F.unhex(f["sha256"])))
+    return files.agg(F.sha2(F.aggregate(parts, F.unhex(F.lit("")), lambda whole, part: F.concat(whole, part)), 256).alias("fingerprint"))
+
+
+def sha256_sums(files: DataFrame) -> DataFrame:
+    """Lines of a checksum file, by name."""
+    return files.select(F.concat_ws("  ", "sha256", "name").alias("line"), "name").orderBy("name").select("line")

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.functions import pages, stats, text
+from attesta.functions import names, pages, stats, text, values
+from attesta.operators import entities
 from attesta.operators import relational as R
 from attesta.sources import files
 
@@ -117,7 +118,9 @@ def test_cookie_text(spark):
 
 def test_scanned_array():
     assert files.scan_array('<script>var rows = [{"n": "A ] Co"}, [1]];</script>', "rows") == '[{"n": "A ] Co"}, [1]]'
-    assert files.scan_array("var other = 1", "rows") is None
+    for broken in ("var other = 1", 'var rows = [{"n": "]"}'):
+        with pytest.raises(ValueError):
+            files.scan_array(broken, "rows")
 
 
 def test_clean_and_quotes(spark):
@@ -174,3 +177,68 @@ def test_stratified_bootstrap_weighs_strata(spark):
     other = stats.stratified_bootstrap(spark.createDataFrame([("x", float(a), bool(b)) for a, b in zip(w, y, strict=True)], "s string, w double, y boolean"), "s", "y", "w", 4000).first()
     assert other["low"] == pytest.approx(brute[99], abs=0.02) and other["high"] == pytest.approx(brute[3899], abs=0.02)
     assert stats.stratified_bootstrap(frame.limit(0), "s", "y", "w").count() == 0
+
+
+def test_name_keys(spark):
+    key = lambda x, v: one(spark, names.name_key(F.lit(x), v))
+    assert key("Smith &amp; Sons, Inc.", "plain") == "smith sons"
+    assert key("Straße GmbH", "plain") == "strasse gmbh"
+    assert key("Acme Group LLC", "plain") == "acme group" and key("Acme Group LLC", "group") == "acme"
+    assert key("Acme (West) L.L.C. Mfg", "expanded") == "acme manufacturing"
+    assert key("Acme (West) L.L.C. Mfg", "forms") == "acme mfg"
+    assert one(spark, text.acronym(F.lit("The Gas Products Research Co."))) == "gpr"
+
+
+def test_candidate_names(spark):
+    name = lambda s, t: one(spark, names.candidate_name(F.lit(s), F.lit(t), F.lit("acme-tools.com")))
+    assert name("Acme | Home", "x") == "Acme"
+    assert name("Home", "Acme Tools — Parts") == "Acme Tools"
+    assert name(None, "x") == "Acme Tools" and name("A-B Co", "") == "A-B Co"
+
+
+def test_canonical_urls(spark):
+    url = lambda x: one(spark, text.canonical_url(F.lit(x)))
+    assert url(" https://a.com/x ") == "https://a.com/x"
+    assert url("https://a.com/x?q=a%20b&flag") == "https://a.com/x?q=a+b&flag="
+    assert url("HTTP://u:p@A.com:80//x//y/?UTM_source=1&b=%7E*&a=#f") == "http://a.com/x/y?b=~%2A&a="
+    assert url("ftp://a.com") == "" and url("https://a.com?q=%zz") == "https://a.com/?q=%25zz"
+
+
+def test_values(spark):
+    assert one(spark, values.json_body(F.lit("```json\n{\"a\": 1}\n```"))) == '{"a": 1}'
+    assert one(spark, values.json_body(F.lit("not json"))) is None
+    assert one(spark, values.forbidden_keys(F.lit('{"A":[{"Review_Id":1}],"b":"\\"rationale\\": x"}'), ["review_id", "rationale"])) == ["review_id"]
+    assert one(spark, values.redacted(F.lit("key abc"), ["abc"])) == "key [REDACTED]"
+    assert one(spark, values.in_page_json(F.lit('"</script>"'))) == '"\\u003c/script>"'
+    reason = lambda status, said, kind=None: one(spark, values.retry_reason(F.lit(status), F.lit(said), F.lit(kind).cast("string")))
+    assert reason(503, "busy") == "temporary_http_503" and reason(None, "API error: 429 slow") == "temporary_http_429"
+    assert reason(503, "Quota exceeded") is None and reason(401, "connection reset") is None
+    assert reason(None, "ECONNRESET") == "temporary_connection_error" and reason(None, "", "TimeoutError") == "transport_TimeoutError"
+    assert reason(None, "", "ValueError") is None
+
+
+def test_page_titles_and_meta():
+    page = pages.read_page('<meta name="a" content="x"><meta name="a"><svg><title>In  svg</title>hidden</svg><p>seen</p>')
+    assert page.meta == {"a": "x"} and page.title == ["In svg"] and page.text == ["seen"]
+
+
+def test_alias_candidates_miss_no_alias(spark):
+    import itertools
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    base = ["acme tools", "general gas products", "vacuum pumps west", "abc", "ggp", "precision machine works of ohio"]
+    every = set(base)
+    for name in base * 12:
+        letters = list(name)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(letters))
+            letters[at : at + rng.randint(0, 1)] = rng.choice([[], ["x"], ["q", " "]])
+        every.add("".join(letters).strip())
+    every.discard("")
+    initials = lambda n: "".join(w[0] for w in n.split() if w not in ("the", "and", "of"))
+    same = lambda a, b: min(len(a), len(b)) >= 6 and (a in b or b in a) or initials(a) == b.replace(" ", "") or initials(b) == a.replace(" ", "") or SequenceMatcher(None, a, b).ratio() >= 0.91
+    expected = {(a, b) for a, b in itertools.combinations(sorted(every), 2) if same(a, b) or same(b, a)}
+    found = {(r["a"], r["b"]) for r in entities.alias_candidates(spark.createDataFrame([(1, n) for n in every], "k int, n string"), "k", "n", 0.91).collect()}
+    assert expected <= found
