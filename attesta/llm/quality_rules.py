@@ -20,9 +20,14 @@ from attesta.llm.common import shield, small_batches, unshield
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
+# Menu labels and legal phrases of English pages, beside the rules on structure, which hold for any language.
 _NAVIGATION = re.compile(rb"(?i)^\W*(?:home|menu|search|login|log in|sign in|sign up|register|contact(?: us)?|about(?: us)?|next|previous|back to top|skip to (?:main )?content|sitemap|share|tweet|print|read more|click here)\W*$")
 _SEPARATORS = re.compile(rb"(?:^|\s)(?:\||>|\xc2\xbb|\xe2\x80\xba|\xe2\x80\xa2)(?:\s|$)")
 _BOILERPLATE = re.compile(rb"(?i)all rights reserved|copyright (?:\(c\)|\xc2\xa9)|\xc2\xa9 ?\d{4}|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|lorem ipsum|subscribe to our newsletter")
+_LINK = re.compile(rb"(?i)^[(<\"']?(?:https?://|www\.)")
+#: A line of at most this many words without a mark at its end may be a menu entry; this many of them in a row are a menu.
+_ENTRY_WORDS, _ENTRIES = 3, 4
+_ENDS = (b".", b"!", b"?", b":", b";", b",", b"\"", b"'", b")", "…".encode(), "。".encode(), "！".encode(), "？".encode(), "»".encode(), "”".encode(), "’".encode())
 #: A word sequence this long counts for the repeat measure.
 _WINDOW = 5
 #: From this many words the windows are ranked with arrays, which take less memory than tuples.
@@ -58,11 +63,14 @@ def repeat_words(words: list[bytes]) -> int:
 def line_fails(line: bytes, words: list[bytes]) -> bool:
     """Whether a line with words is not running text.
 
-    Punctuation: half of its words or more end in a run of marks. Navigation: it's a menu label alone, or a list
-    with a separator for every four words or fewer (three separators or more). Boilerplate: a legal or site phrase, or
+    Punctuation: half of its words or more end in a run of marks. Navigation: it's a menu label alone, a list
+    with a separator for every four words or fewer (three separators or more), or links for half of its words. Boilerplate: a legal or site phrase, or
     a line of eight words or more half of which repeat the word before.
     """
     n = len(words)
+    if b"://" in line or b"www." in line:
+        if 2 * sum(bool(_LINK.match(w)) for w in words) >= n:
+            return True
     if line.translate(None, _SYMBOLS + b"!?~^=_+") != line:
         if 2 * sum(len(w) > 2 and w[-1] in b"!?#*$%&|<>~^=_+" and w[-2] in b"!?#*$%&|<>~^=_+" for w in words) >= n:
             return True
@@ -74,6 +82,20 @@ def line_fails(line: bytes, words: list[bytes]) -> bool:
     return bool(_NAVIGATION.match(line)) or bool(_BOILERPLATE.search(line))
 
 
+def menu_lines(held: list[tuple[bytes, list[bytes]]]) -> set[int]:
+    """Places among the lines with words that make a menu: runs of short lines without a mark at their end."""
+    out: set[int] = set()
+    run: list[int] = []
+    for at, (line, words) in enumerate([*held, (b".", [b"."])]):
+        if len(words) <= _ENTRY_WORDS and not line.rstrip().endswith(_ENDS):
+            run.append(at)
+            continue
+        if len(run) >= _ENTRIES:
+            out.update(run)
+        run = []
+    return out
+
+
 def measure(text: bytes, lost_percent: int) -> tuple:
     words = text.split()
     lines = text.split(b"\n")
@@ -82,9 +104,11 @@ def measure(text: bytes, lost_percent: int) -> tuple:
     chars = len(text.translate(None, _CONTINUATION))
     n_repeat = repeat_words(words)
     kept_lines, gone, lost, seen = [], 0, 0, set()
+    menu, at = menu_lines(held), -1
     for line in lines:
         own = line.split()
-        if own and (line_fails(line, own) or len(own) > 3 and line in seen):
+        at += bool(own)
+        if own and (at in menu or line_fails(line, own) or len(own) > 3 and line in seen):
             gone += 1
             lost += len(line.translate(None, _SPACE + _CONTINUATION))
         else:
@@ -120,7 +144,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lost_percent: int = 3
 
     Words are runs outside space, tab, newline, vertical tab, form feed and return. ``kept`` is false if the base measures fail
     (fewer than 10 words, or over a fifth of them in repeated 5-word windows) or if the removed lines hold over
-    ``lost_percent`` of the characters in words; at the limit itself a text is kept. Removed lines fail a line rule or repeat an earlier line of over three words.
+    ``lost_percent`` of the characters in words; at the limit itself a text is kept. Removed lines fail a line rule, stand in a menu (four lines or more of up to three words without a mark at their end) or repeat an earlier line of over three words.
     A null or empty text has no word and fails; its clean text is empty. Texts of any length are judged whole. Every row is judged by itself, so repeated rows
     and rows that share an id agree. Input columns named as the output ones may hold the text and are replaced; an empty table gives an empty result.
     """
