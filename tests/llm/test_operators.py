@@ -520,3 +520,112 @@ def test_suffix_dedup_of_rows_that_share_ids(spark, monkeypatch):
 
     found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((-1 if r[0] is None else r[0], r[1], r[2], bytes(r["kept_bytes"])) for r in found) == sorted(expected(*r) for r in rows)
+
+
+def test_quality_verdict(spark):
+    """Documents are kept or rejected by the share of text that their failing lines hold, exactly at the limit too."""
+    line = lambda k: "aa{0} bb{0} cc{0} dd{0} ee{0} ffffff{0}.".format("%04d" % k)
+    menu = ["Startseite", "Produkte", "Über uns", "Kontakt"]
+    noise = "WOW!! BUY!! THIS!! NOW!! HERE!! FAST!! CHEAP!! GOOD!!"
+    chars = lambda x: sum(map(len, x.split()))
+    assert 70 * 41 == 2870 and chars(line(1)) == 41
+    at_limit = [line(k) for k in range(70)] + [" ".join("%04d!!" % k for k in range(205))]  # 70 * 41 characters kept, 1230 removed: 30 percent
+    assert chars(at_limit[-1]) == 1230
+    rows = {
+        1: ("\n".join(line(k) for k in range(5)), True),
+        2: ("\n".join([*menu, *[line(k) for k in range(5)]]), True),
+        3: ("\n".join([noise] * 3 + [noise + " X!!"] * 2 + [line(1)]), False),
+        4: ("\n".join(at_limit), True),
+        5: ("\n".join([*at_limit[:-1], at_limit[-1] + "q"]), False),
+        6: ("too few words here", False),
+        7: (None, False),
+        8: ("See https://a.example/x and www.b.example now\n" + "\n".join(line(k) for k in range(9)), True),
+    }
+    found = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame([(k, t) for k, (t, _) in rows.items()], "doc_id long, text string")).collect()}
+    assert {k: found[k]["kept"] for k in rows} == {k: kept for k, (_, kept) in rows.items()}
+    assert found[2]["clean_text"] == rows[1][0] and found[2]["n_lines_removed"] == 4
+    assert "https" in found[8]["clean_text"]
+
+
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_suffix_dedup", "op3_language_id", "op4_quality_rules", "op5_jaccard_join", "op6_resharding", "op10_exact_dedup"])
+def test_queries_against_brute_force(spark, name, tmp_path, corpus):
+    """The contract's columns of each query, on a small table of documents."""
+    import zlib
+
+    from attesta.llm.queries import QUERIES
+
+    spark.createDataFrame([(k, t, lang or "fr", s, len(t or "")) for k, t, lang, s in corpus], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    texts = {k: (t or "") for k, t, *_ in corpus}
+    assert sorted(found) == sorted(texts)
+    raw = {k: t.encode() for k, t in texts.items()}
+    for key, own in found.items():
+        if name == "op2_suffix_dedup":
+            assert own["n_bytes"] == len(raw[key])
+        if name == "op3_language_id":
+            assert own["held_out"] == (zlib.crc32(str(key).encode()) % 4 == 2) and 0 <= own["score"] <= 1
+            assert (own["lang_pred"] == "und") == (not any(c.isalpha() for c in texts[key]))
+        if name == "op4_quality_rules":
+            assert (own["n_words"], own["word_chars"], own["n_symbols"], own["n_dup_lines"], own["n_repeat_words"]) == brute_quality(texts[key])
+        if name == "op6_resharding":
+            assert (own["size"], own["text_crc32"], own["law"], own["grown_shard"]) == (len(raw[key]) + 1, zlib.crc32(raw[key]), "bytes", None)
+            assert 0 <= own["shard"] < 16
+        if name == "op10_exact_dedup":
+            group = [k for k in texts if texts[k] == texts[key]]
+            assert (own["keep_id"], own["group_size"], own["kept"]) == (max(group), len(group), key == max(group))
+    if name == "op2_suffix_dedup":
+        times = collections.Counter(t[k : k + 200] for t in raw.values() for k in range(len(t) - 199))
+        for key, t in raw.items():
+            gone = np.zeros(len(t), bool)
+            for k in range(len(t) - 199):
+                if times[t[k : k + 200]] > 1:
+                    gone[k : k + 200] = True
+            spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+            kept = hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()
+            assert (found[key]["n_removed"], found[key]["n_spans"], found[key]["kept_sha256"]) == (int(gone.sum()), spans, kept)
+    if name == "op6_resharding":
+        by_shard = collections.defaultdict(list)
+        for own in found.values():
+            by_shard[own["shard"]].append(own["slot"])
+        assert all(sorted(x) == list(range(len(x))) for x in by_shard.values())
+    if name == "op1_mixing":
+        assert len({r["mix_pos"] for r in found.values()}) == len(texts)
+
+
+def brute_packing(sizes, lengths, quadratic):
+    """Best fit over several lengths, one piece at a time."""
+    bins = []  # [room, capacity, pieces]
+    left = collections.Counter(sizes)
+    for size in sorted(sizes, reverse=True):
+        fits = [b for b in bins if b[0] >= size]
+        if fits:
+            best = min(fits, key=lambda b: b[0])
+            best[0] -= size
+            best[2].append(size)
+        else:
+            below = sum(n * s for s, n in left.items() if s < size)
+            count = left[size]
+
+            def price(c, size=size, count=count, below=below):
+                alike = min(count, c // size)
+                return (c + quadratic * c * c) / (alike * size + min(c - alike * size, below)), -c
+
+            capacity = min((c for c in lengths if c >= size), key=price)
+            bins.append([capacity - size, capacity, [size]])
+        left[size] -= 1
+    return sorted((c, sum(p)) for _, c, p in bins)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_of_several_lengths(seed):
+    """Every piece is in one bin of a permitted length, and no more tokens are wasted than by packing one piece at a time, plus one bin."""
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 257, 400).tolist()
+    lengths = (64, 128, 256)
+    runs, groups = packing.pack_histogram(dict(collections.Counter(sizes)), lengths, 1 / 65536)
+    assert sum(n for _, n, _, _ in groups) == max(b + (e - f) // k for _, f, e, b, k, _ in runs)
+    assert sum(n * used for _, n, _, used in groups) == sum(sizes) and all(used <= c and c in lengths for _, _, c, used in groups)
+    assert sum(e - f for _, f, e, *_ in runs) == len(sizes)
+    downsized = lambda pairs: sum(n * next(c for c in lengths if c >= used) for n, used in pairs)
+    ours = downsized((n, used) for _, n, _, used in groups)
+    assert ours <= downsized((1, used) for _, used in brute_packing(sizes, lengths, 1 / 65536)) + 256
