@@ -124,6 +124,10 @@ def may_link(a: str, b: str, n: str, m: str) -> str:
 
 def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and long bitmaps allow a link. ``sets``: id, n, bits, up (bits for a pair with a larger set)."""
+    # Sizes alone rule out most pairs, so the bitmaps are joined to the others only.
+    size = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(x + "n"))
+    pairs = pairs.join(size("a"), "a").join(size("b"), "b").filter("5 * least(an, bn) >= 4 * greatest(an, bn)")
+    pairs = cut(pairs.select("a", "b").distinct(), "sized-pairs")
     few = pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     side = lambda x: sets.select(F.col("id").alias(x), *[F.col(c).alias(x + c) for c in ("n", "bits", "up")])
     found = side("a").join(F.broadcast(pairs) if few else pairs, "a")
