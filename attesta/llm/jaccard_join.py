@@ -53,6 +53,10 @@ CUT = 512
 COMPARE, MET = 1 / 32, 64
 #: Lists of a shingle that the summary counts more often are counted in parts of about this many rows.
 HOT = 1000
+#: Lists of up to this many members give their pairs as they are, which is linear; longer ones are compared by short bitmaps first.
+SHORT = 8
+#: In a round, a pivot must share one in this many of a document's prefix shingles: chance meetings are left for the last pass.
+SHARED = 8
 #: Longs of the bitmaps that may be broadcast, 16 MB.
 BROADCAST_LONGS = 2_000_000
 #: Pivots that a document is compared with in a round, those that share the most lists with it.
@@ -136,7 +140,8 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         found = cut(found, "sided")
         longs = found.agg(F.sum(F.size("abits") + F.coalesce(F.size("aup"), F.lit(0)))).first()[0] or 0
         found = F.broadcast(found) if longs <= BROADCAST_LONGS else found
-    found = side("b").join(found, "b").filter("5 * least(an, bn) >= 4 * greatest(an, bn)")
+    met = keep_ids(side("b"), pairs.select("b").distinct(), "b")
+    found = met.join(found, "b").filter("5 * least(an, bn) >= 4 * greatest(an, bn)")
     same = "case when size(abits) = size(bbits) then struct(abits as x, bbits as y) when size(abits) < size(bbits) then struct(aup as x, bbits as y) else struct(abits as x, bup as y) end"
     differ = "aggregate(zip_with(pair.x, pair.y, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
     return found.withColumn("pair", F.expr(same)).filter(f"{differ} <= {most_apart('an', 'bn')}").select("a", "b")
@@ -305,46 +310,64 @@ def marks(docs: DataFrame, boundary: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, part long, from_n long, n long, size long, bits array<long>")
 
 
-def mixed_lists(shared: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """``shared`` with ``comp``, and the lists (token, part) whose members belong to different components."""
-    own = with_labels(shared, labels) if labels is not None else shared.withColumn("comp", F.col("id"))
-    mixed = own.groupBy("token", "part").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).filter("__lo < __hi").select("token", "part")
-    return own, mixed
+def labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``shared`` with ``comp``: the component of each member, by now."""
+    return with_labels(shared, labels) if labels is not None else shared.withColumn("comp", F.col("id"))
 
 
-def pivot_round(shared: DataFrame, labels: DataFrame | None, sets: DataFrame, docs: DataFrame, turn: int) -> DataFrame:
-    """Links (a, b) between each list's pivot and its members outside the pivot's component."""
-    own, mixed = mixed_lists(shared, labels)
-    if turn == 0:
-        score = shared.groupBy("id").agg(F.sum(F.log2("c")).alias("score"))
-        rated = own.join(score, "id").withColumn("rate", F.struct("score", F.bitwise_not("id")))
+def pivot_round(shared: DataFrame, labels: DataFrame | None, sets: DataFrame, docs: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between each list's pivot and its members outside the pivot's component; and the rows of the lists that were still mixed.
+
+    Lists are joined by shuffling at any size, never broadcast.
+    """
+    own = labelled(shared.select("token", "part", "id"), labels)
+    if turn == 0:  # each member is a component of its own
+        score = shared.groupBy("id").agg(F.sum(F.log2("c")).cast("float").alias("score"))
+        score = cut(score, "score")
+        few = score.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        rated = own.join(F.broadcast(score) if few else score, "id")
+        rated = rated.groupBy("token", "part").agg(F.max(F.struct("score", F.bitwise_not("id").alias("key"))).alias("top"))
+        pivots = rated.select("token", "part", F.bitwise_not("top.key").alias("pivot")).withColumn("pivot_comp", F.col("pivot"))
     else:
-        rated = own.withColumn("rate", F.struct(F.xxhash64("id", "token", F.lit(turn)), F.col("id")))
-    pivots = rated.groupBy("token", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("rate", "id", "comp")).alias("top"))
-    pivots = pivots.filter("lo < hi").select("token", "part", F.col("top.id").alias("pivot"), F.col("top.comp").alias("pivot_comp"))
-    met = own.join(pivots, ["token", "part"]).filter("comp <> pivot_comp").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("met"))
-    met = cut(met, "met")
+        rate = F.struct(F.xxhash64("id", "token", F.lit(turn)).alias("key"), "id", "comp")
+        pivots = own.groupBy("token", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(rate).alias("top"))
+        pivots = pivots.filter("lo < hi").select("token", "part", F.col("top.id").alias("pivot"), F.col("top.comp").alias("pivot_comp"))
+    mixed = cut(own.join(pivots.hint("merge"), ["token", "part"]).select("token", "part", "id", "comp", "pivot", "pivot_comp"), "mixed")
+    met = cut(mixed.filter("comp <> pivot_comp").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("met")), "met-all")
+    every = met
+    met = cut(every.join(sets.select("id", "n"), "id").filter(f"met * {SHARED} * 5 >= n").select("id", "pivot", "met").distinct(), "met")
+    drop(every)
     allowed = likely(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")), sets)
-    met = met.join(allowed.select(F.col("a").alias("pivot"), F.col("b").alias("id")).distinct(), ["id", "pivot"])
+    chosen = met.join(allowed.select(F.col("a").alias("pivot"), F.col("b").alias("id")).distinct(), ["id", "pivot"])
     best = Window.partitionBy("id").orderBy(F.desc("met"), "pivot")  # a document's pivots: no more than its lists
-    chosen = met.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PIVOTS)
-    return verify(chosen.select(F.col("pivot").alias("a"), F.col("id").alias("b")), docs)
+    chosen = chosen.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PIVOTS)
+    links = verify(chosen.select(F.col("pivot").alias("a"), F.col("id").alias("b")), docs)
+    drop(met)
+    return links, mixed
 
 
 def left_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, boundary: int) -> DataFrame:
-    """All pairs (a, b) within a list, of different components, whose sizes and bitmaps allow a link."""
-    own, mixed = mixed_lists(shared, labels)
-    own = cut(own.join(mixed, ["token", "part"]).select("token", "part", "id", "comp"), "mixed")
+    """All pairs (a, b) within a list, of different components, whose sizes and bitmaps allow a link.
+
+    Pairs of short lists are compared by their long bitmaps only, so only members of long lists carry short ones.
+    """
+    own = labelled(shared.select("token", "part", "id"), labels)
+    mixed = own.groupBy("token", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi").select("token", "part", "members")
+    every = cut(own.join(mixed.hint("merge"), ["token", "part"]).select("token", "part", "id", "comp", "members"), "mixed")
+    short = every.filter(f"members <= {SHORT}")
+    end = lambda x: short.select("token", "part", F.col("id").alias(x), F.col("comp").alias("c" + x))
+    met = end("a").join(end("b").hint("merge"), ["token", "part"]).filter("ca < cb").select("a", "b")
+    own = every.filter(f"members > {SHORT}").drop("members")
     marked = marks(keep_ids(docs, own.select("id").distinct(), "id"), boundary)
     lists = cut(own.join(marked, ["id", "part"]), "lists")
     side = lambda x: lists.select("token", "part", *["from_n"][: x == "a"], F.col("id").alias(x), F.col("comp").alias("c" + x), F.col("n").alias("n" + x), F.col("size").alias("s" + x), F.col("bits").alias("b" + x))
     # A pair meets at the level of its larger set, two light sets by their subsets only.
     near = F.expr(f"ca < cb and 5 * least(na, nb) >= 4 * greatest(na, nb) and greatest(na, nb) >= from_n and {may_link('ba', 'bb', 'sa', 'sb')}")
     near = near & ((F.col("part") == 0) | (F.greatest("na", "nb") > boundary))
-    pairs = side("a").join(side("b"), ["token", "part"]).filter(near).select("a", "b")
-    near_pairs = cut(pairs.distinct(), "near-pairs")
+    pairs = side("a").join(side("b").hint("merge"), ["token", "part"]).filter(near).select("a", "b")
+    near_pairs = cut(pairs.union(met).distinct(), "near-pairs")
     pairs = cut(likely(near_pairs, sets), "left-pairs")
-    drop(own, lists, near_pairs)
+    drop(every, lists, near_pairs)
     return pairs
 
 
@@ -396,7 +419,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     labels, made = None, []
     for turn in range(rounds):
-        found = pivot_round(shared, labels, sets, own, turn)
+        found, mixed = pivot_round(shared, labels, sets, own, turn)
+        drop(shared)
+        shared = mixed  # lists of one component stay so
         made.append(found)
         if turn and found.limit(1).count() == 0:
             break
