@@ -168,7 +168,7 @@ def sketch(docs: DataFrame, counters: int) -> DataFrame:
                 rows.append((0, key, len(own), (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, wide(own, here), wide(own, up) if up > here else None, 0, 0))
                 waiting.append(own)
                 size += len(own)
-                if size > 1_000_000:
+                if size > 250_000:
                     tokens = np.concatenate(waiting)
                     yield counts(2, *np.unique(tokens[tokens & np.uint64(255) == 0], return_counts=True))
                     kept = _trim(tokens, kept, counters)

@@ -37,7 +37,7 @@ class TrieCounter:
     score of the rarest piece.
     """
 
-    def __init__(self, scores: dict[bytes, float], most: int = 500_000):
+    def __init__(self, scores: dict[bytes, float], most: int = 200_000):
         # Every suffix of a piece is a key, without a score unless it is a piece: where none fits, no longer piece ends.
         self.ends: dict[bytes, float | None] = {piece[k:]: None for piece in scores for k in range(1, len(piece))} | scores
         self.floor = min(scores.values(), default=0.0)
