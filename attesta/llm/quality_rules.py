@@ -135,8 +135,9 @@ def _judged(docs: DataFrame, text_col: str, lost_percent: int) -> tuple[DataFram
             yield pd.DataFrame([measure(bytes(x), lost_percent) for x in batch], columns=_OUT)
 
     own, columns = shield(small_batches(docs))
-    found = own.withColumn("__judged", judge(F.coalesce(F.col(columns[text_col]), F.lit("")).cast("binary")))
-    return found, columns
+    # Marked so that a filter on the verdict stays above it: pushed below, it would judge every text a second time.
+    judged = judge.asNondeterministic()(F.coalesce(F.col(columns[text_col]), F.lit("")).cast("binary"))
+    return own.withColumn("__judged", judged), columns
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lost_percent: int = 30) -> DataFrame:
