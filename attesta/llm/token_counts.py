@@ -192,6 +192,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, longest: int, text_col: str =
             yield pd.Series([[{"piece": k, "start": lo, "n_tokens": n, "text": bytes(text)[lo:hi]} for k, (lo, hi, n) in enumerate(trie.pieces(bytes(text), longest))] for text in batch])
 
     own, columns = shield(small_batches(docs))
-    found = own.withColumn("__pieces", pieces(F.coalesce(F.col(columns[text_col]), F.lit("")).cast("binary")))
+    # Marked so that the filter that explode implies stays above it: pushed below, it would cut every text a second time.
+    found = own.withColumn("__pieces", pieces.asNondeterministic()(F.coalesce(F.col(columns[text_col]), F.lit("")).cast("binary")))
     found = found.withColumn("__one", F.explode("__pieces"))
     return found.select(*[F.col(n).alias(c) for c, n in columns.items() if c not in out], *[F.col(f"__one.{x}").alias(x) for x in out[:3]], F.col("__one.text").alias(text_col))
