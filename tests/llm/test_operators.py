@@ -629,3 +629,12 @@ def test_packing_of_several_lengths(seed):
     downsized = lambda pairs: sum(n * next(c for c in lengths if c >= used) for n, used in pairs)
     ours = downsized((n, used) for _, n, _, used in groups)
     assert ours <= downsized((1, used) for _, used in brute_packing(sizes, lengths, 1 / 65536)) + 256
+
+
+def test_texts_pass_python_once(spark):
+    """Filters on the verdict, or those that explode implies, must not evaluate the function a second time below."""
+    docs = spark.range(3).selectExpr("id as doc_id", "id as mix_pos", "'some text' as text")
+    from attesta.llm.queries import vocabulary
+
+    for found in (quality_rules.clean_documents(docs), quality_rules.quality_rules(docs).filter("kept"), token_counts.token_pieces(docs, vocabulary(), 64)):
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
