@@ -454,7 +454,7 @@ def html_visible_text(spark, d):
 
 @query("html_title_meta", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
 def html_title_meta(spark, d):
-    return table(spark, d, "pages").select("page_id", P.page_fields("html").title.alias("title"))
+    return table(spark, d, "pages").select("page_id", P.page_title(F.col("html")).alias("title"))
 
 
 @query("evidence_windows")

@@ -28,3 +28,17 @@ def test_query_equals_sql(spark, name):
     columns = sorted(expected.columns)
     assert sorted(got.columns) == columns
     assert rows(got, columns) == rows(expected, columns)
+
+
+def test_titles_equal_sql_on_odd_pages(spark, tmp_path):
+    """References cut off, doubled or unknown, white space of every kind, titles that are none, and no page at all."""
+    titles = ["and&amp", "a &amp;amp; b &amp;lt;", "&lt;b&gt; &quot;q&quot; &#x27;s&#x27;", "&copy; &nbsp; &#39;", "&#x27", " a \t\n\r\f b\x0b ", "\u00a0a\u3000", "a\x0b\n", "a\u2028", "", " \n"]
+    pages = [f"<title>{t}</title>" for t in titles]
+    pages += [None, "", "no title", "<TITLE>a</TITLE>", "<title lang='en'>a</title>", "<title>a<b>c</b></title><title>d</title>", "<title></title><title>e</title>", "<title>f", "<script>'<title>g</title>'</script><title>h</title>"]
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    frame.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    expected = dict(con.sql(registry.ORACLES["html_title_meta"]).fetchall())
+    assert len(expected) == len(pages) and expected[0] == "and&amp"
+    assert dict(map(tuple, registry.QUERIES["html_title_meta"](spark, str(tmp_path)).collect())) == expected
