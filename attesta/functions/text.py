@@ -5,9 +5,11 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -125,24 +127,47 @@ def _quote_key(text: str) -> str:
     return re.sub(r"\s+", " ", text).casefold().strip()
 
 
+def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """How many characters each of ``a`` has in common with its partner of ``b`` in the same order, for all pairs at once; of names over 63 characters a bound from above."""
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    found, few = np.minimum(la, lb), np.flatnonzero((la < 64) & (lb < 64))
+    codes = lambda names, sizes, pad: np.where(np.arange(64) < sizes[few, None], np.array([names[i] for i in few], "U64").view(np.uint32).reshape(-1, 64), np.uint32(pad))
+    if few.size:
+        x, y = codes(a, la, 0xFFFFFFFE), codes(b, lb, 0xFFFFFFFF)
+        free = np.full(few.size, 0xFFFFFFFFFFFFFFFF, np.uint64)  # a's characters without a partner
+        for at in range(int(lb[few].max())):
+            hit = free & np.packbits(x == y[:, at, None], axis=1, bitorder="little").view("<u8").ravel()
+            free = (free + hit) | (free - hit)
+        found[few] = 64 - np.bitwise_count(free)
+    return found
+
+
 def alias_udf(least_length: int, ratio: float, acronyms: bool):
-    """Whether two normalised names name the same: equal, one inside the other, an acronym, or a close match by blocks."""
+    """Whether two normalised names name the same: equal, one inside the other, an acronym, or a close match by blocks in either order."""
 
     def initials(name: str) -> str:
         return "".join(w[0] for w in name.split() if w not in ("the", "and", "of"))
 
-    def same(a: str | None, b: str | None) -> bool:
+    def same(a: str, b: str, common: int, close: Callable[[str, str], bool]) -> bool:
         if not a or not b:
             return False
         if a == b or min(len(a), len(b)) >= least_length and (a in b or b in a):
             return True
         if acronyms and (a == initials(b) or b == initials(a)):
             return True
-        return SequenceMatcher(None, a, b).ratio() >= ratio
+        return common >= ratio * (len(a) + len(b)) / 2 - 1e-9 and (close(a, b) or close(b, a))
 
     @F.pandas_udf("boolean")
     def alias(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        matcher = lru_cache(4096)(lambda name: SequenceMatcher(None, "", name))
+
+        def close(a: str, b: str) -> bool:
+            by_blocks = matcher(b)
+            by_blocks.set_seq1(a)
+            return by_blocks.ratio() >= ratio
+
         for a, b in pairs:
-            yield pd.Series([same(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+            a, b = a.fillna("").tolist(), b.fillna("").tolist()
+            yield pd.Series([same(x, y, n, close) for x, y, n in zip(a, b, common_lengths(a, b), strict=True)], dtype=bool)
 
-    return alias
+    return alias.asNondeterministic()  # else a filter on it goes below a distinct, and judges each pair as often as it was found

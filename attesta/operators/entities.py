@@ -2,46 +2,78 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import values as V
 from attesta.functions.text import stable_id
 from attesta.operators import relational as R
+from attesta.session import settle
+
+
+#: Names of two lengths meet by their shared subsequences if the longer has at most so many of the length they must share, else by rare strings.
+MOST_SUBSEQUENCES = 300
+
+
+def _subsequences(name: str, dropped: str) -> Column:
+    """The distinct texts that remain of column ``name`` when ``dropped`` of its characters go."""
+    one_less = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda k: F.concat(F.substr(s, F.lit(1), k - 1), F.substr(s, k + 1)))
+    each = F.aggregate(F.sequence(F.lit(1), F.col(dropped)), F.array(F.col(name)), lambda found, _: F.array_distinct(F.flatten(F.transform(found, one_less))))
+    return F.when(F.col(dropped) > 0, each).otherwise(F.array(F.col(name)))
 
 
 def alias_candidates(names: DataFrame, block: str, name: str, ratio: float) -> DataFrame:
-    """(block, a, b), a before b: pairs of a block's distinct names that may be aliases; no alias is missing.
+    """(block, a, b), a before b: pairs of a block's distinct names that may be aliases, each once; no alias is missing.
 
-    Names hold strings of three characters. A close match at ``ratio`` leaves at most ``u = (1 - ratio) (la + lb)`` characters unmatched, each of which
-    spoils three strings at most, so a name shares all but that many of its strings with the other; a name inside another shares all of its own. So
-    one of a name's rarest strings, as many as may be spoiled and one more, is among the other's. Acronyms meet by the acronym.
+    A close match at ``ratio`` of names of ``n`` and ``m`` characters has ``ratio (n + m) / 2`` in common in the same order. Names short enough
+    (``MOST_SUBSEQUENCES``) meet by a shared subsequence of that length, so they are close but for the matcher's choice of blocks. Of other lengths, each
+    unmatched character of the shorter name spoils three of its strings of three characters at most, each of the longer two, so one of the shorter
+    name's rarest strings, as many as may be spoiled and one more, is among the longer's; the empty string, which all names share, is the last. A name
+    inside another shares its rarest string (names of three characters on). Acronyms meet by the acronym.
     """
-    own = names.select(block, name).distinct()
-    length = F.length(name)
-    grams = F.when(length >= 3, F.transform(F.sequence(F.lit(1), F.greatest(length - 2, F.lit(1))), lambda k: F.substr(name, k, F.lit(3)))).otherwise(F.array(F.col(name)))
-    each = own.select(block, name, length.alias("__n"), F.explode(F.array_distinct(grams)).alias("gram"))
-    counted = each.join(each.groupBy(block, "gram").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1"), [block, "gram"])
-    # The longer of two close names is at most ratio / (2 - ratio) times as short, so u follows from one length.
-    spoiled = F.ceil(3 * (1 - ratio) * F.col("__n") * (1 + (2 - ratio) / ratio)) + 1
-    rarest = Window.partitionBy(block, name).orderBy("__c", "gram")  # a name's strings
-    probes = counted.withColumn("__at", F.row_number().over(rarest)).filter(F.col("__at") <= spoiled).select(block, "gram", F.col(name).alias("x"))
-    met = probes.join(counted.select(block, "gram", F.col(name).alias("y")), [block, "gram"]).select(block, "x", "y")
-    initials = F.array_join(F.transform(F.filter(F.split(name, " "), lambda w: (w != "") & ~w.isin("the", "and", "of")), lambda w: w.substr(1, 1)), "")
-    short = own.select(block, F.col(name).alias("x"), initials.alias("key")).filter("key <> ''")
-    joined = own.select(block, F.col(name).alias("y"), F.replace(name, F.lit(" "), F.lit("")).alias("key"))
-    met = met.unionByName(short.join(joined, [block, "key"]).select(block, "x", "y"))
-    return met.filter("x <> y").select(block, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    own = names.select(F.col(block).alias("k"), F.col(name).alias("x")).filter("k IS NOT NULL AND x <> ''").distinct()
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few names make many rows, so their size is no measure
+    own = settle(own.withColumn("n", F.length("x")).repartition(parts, "k", "x"))
+    lengths = own.groupBy("k", "n").agg(F.count(F.lit(1)).alias("c"))
+    shared = F.ceil(F.lit(ratio / 2) * (F.col("n") + F.col("m")) - 1e-9).cast("int")
+    longest = {u: max((m for m in range(u, MOST_SUBSEQUENCES + 1) if comb(m, u) <= MOST_SUBSEQUENCES), default=0) for u in range(1, 11)}
+    few = reduce(lambda found, u: found | (F.col("m") - shared == u) & (F.col("m") <= longest[u]), longest, F.lit(False))
+    sizes = lengths.join(lengths.select("k", F.col("n").alias("m")), "k").filter("n < m OR n = m AND c > 1").filter((shared <= F.col("n")) & (shared < F.col("m"))).select("k", "n", "m", shared.alias("s"), few.alias("few"))
+
+    near = sizes.filter("few")
+    wanted = near.select("k", "n", "s").unionByName(near.select("k", F.col("m").alias("n"), "s")).distinct()
+    cut = own.join(wanted, ["k", "n"]).withColumn("u", F.col("n") - F.col("s")).select("k", "s", "x", "n", F.explode(_subsequences("x", "u")).alias("v")).withColumn("v", F.xxhash64("v"))
+    met = cut.join(cut.select("k", "s", "v", F.col("x").alias("y"), F.col("n").alias("m")), ["k", "s", "v"]).filter("x < y").filter(shared == F.col("s")).select("k", "x", "y")
+
+    grams = F.when(F.col("n") >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 2, F.lit(1))), lambda i: F.substr("x", i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    each = own.select("k", "x", "n", F.explode(F.array_append(F.array_distinct(grams), F.lit(""))).alias("gram"))
+    rarest = Window.partitionBy("k", "x").orderBy("c", F.col("gram") == "", "gram")  # a name's strings
+    ranked = each.join(each.groupBy("k", "gram").agg(F.count(F.lit(1)).alias("c")), ["k", "gram"]).withColumn("at", F.row_number().over(rarest)).filter("c > 1")
+    lists = each.select("k", "gram", F.col("n").alias("m"), F.col("x").alias("y"))
+    far = sizes.filter("NOT few").withColumn("most", 3 * (F.col("n") - F.col("s")) + 2 * (F.col("m") - F.col("s")) + 1)
+    probes = ranked.join(far, ["k", "n"]).filter("at <= most").select("k", "gram", "m", "x", "n")
+    met = met.unionByName(probes.join(lists, ["k", "gram", "m"]).filter("n < m OR x < y").select("k", "x", "y"))
+    inner = ranked.filter("at = 1 AND gram <> ''").join(lengths.groupBy("k").agg(F.max("n").alias("longest")), "k").filter("n < longest").select("k", "gram", "x", "n")
+    met = met.unionByName(inner.join(lists, ["k", "gram"]).filter("n < m").filter(F.contains("y", "x")).select("k", "x", "y"))
+
+    initials = F.array_join(F.transform(F.filter(F.split("x", " "), lambda w: (w != "") & ~w.isin("the", "and", "of")), lambda w: w.substr(1, 1)), "")
+    short = own.select("k", "x", initials.alias("key")).filter("key <> ''")
+    joined = own.select("k", F.col("x").alias("y"), F.replace("x", F.lit(" "), F.lit("")).alias("key"))
+    met = met.unionByName(short.join(joined, ["k", "key"]).select("k", "x", "y"))
+    return met.filter("x <> y").select(F.col("k").alias(block), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def alias_edges(names: DataFrame, block: str, name: str, alias, least_length: int = 6, ratio: float = 0.91) -> DataFrame:
     """(block, a, b): pairs of a block's distinct names, a before b, of which one is an alias of the other in either direction.
 
-    ``alias`` is ``alias_udf`` of the same ``least_length`` (three at least) and ``ratio``.
+    ``alias`` is ``alias_udf`` of the same ``least_length`` (three at least) and ``ratio``; each pair is judged once.
     """
     if least_length < 3:
         raise ValueError("names inside others are found from three characters on")
-    return alias_candidates(names, block, name, ratio).filter(alias("a", "b") | alias("b", "a"))
+    return alias_candidates(names, block, name, ratio).filter(alias("a", "b"))
 
 
 def name_clusters(names: DataFrame, block: str, name: str, alias) -> DataFrame:

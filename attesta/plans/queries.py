@@ -500,15 +500,16 @@ def best_baseline_match(spark, d):
 
 @query("blocked_alias_pairs")
 def blocked_alias_pairs(spark, d):
-    """Names that may be aliases within a nation, found by their rarest shared strings; only these are compared."""
+    """Suppliers of a nation whose names may be aliases: the least supplier of each name stands for it, and those of the same name are linked to that one."""
     from attesta.operators.entities import alias_edges
 
     rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", text.normalize_name(F.col("s_name")).alias("name"))
     edges = alias_edges(rows, "s_nationkey", "name", text.alias_udf(5, 0.88, False), 5, 0.88)
-    ids = rows.select("s_nationkey", "name", "s_suppkey")
-    different = edges.join(ids.withColumnRenamed("name", "a").withColumnRenamed("s_suppkey", "x"), ["s_nationkey", "a"]).join(ids.withColumnRenamed("name", "b").withColumnRenamed("s_suppkey", "y"), ["s_nationkey", "b"]).select("s_nationkey", "x", "y")
-    equal = ids.groupBy("s_nationkey", "name").agg(F.min("s_suppkey").alias("x")).join(ids, ["s_nationkey", "name"]).filter("x <> s_suppkey").select("s_nationkey", "x", F.col("s_suppkey").alias("y"))
-    return different.unionByName(equal).select("s_nationkey", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    first = rows.groupBy("s_nationkey", "name").agg(F.min("s_suppkey").alias("first"))
+    end = lambda side, key: first.select("s_nationkey", F.col("name").alias(side), F.col("first").alias(key))
+    different = edges.join(end("a", "x"), ["s_nationkey", "a"]).join(end("b", "y"), ["s_nationkey", "b"]).select("s_nationkey", "x", "y", F.lit(False).alias("same_name"))
+    equal = first.join(rows, ["s_nationkey", "name"]).filter("first <> s_suppkey").select("s_nationkey", F.col("first").alias("x"), F.col("s_suppkey").alias("y"), F.lit(True).alias("same_name"))
+    return different.unionByName(equal).select("s_nationkey", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "same_name")
 
 
 @query(

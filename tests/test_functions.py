@@ -242,3 +242,62 @@ def test_alias_candidates_miss_no_alias(spark):
     expected = {(a, b) for a, b in itertools.combinations(sorted(every), 2) if same(a, b) or same(b, a)}
     found = {(r["a"], r["b"]) for r in entities.alias_candidates(spark.createDataFrame([(1, n) for n in every], "k int, n string"), "k", "n", 0.91).collect()}
     assert expected <= found
+
+
+def test_numbered_names_meet_only_if_close(spark):
+    """Names that share all but a few digits: the candidates are the pairs with 16 of 18 characters in common, not all of the block."""
+    import itertools
+
+    block = [f"supplier {n:09d}" for n in range(0, 60000, 401)]
+    frame = spark.createDataFrame([(1, n) for n in block], "k int, n string")
+    pairs = list(itertools.combinations(block, 2))
+    common = text.common_lengths([a for a, _ in pairs], [b for _, b in pairs])
+    found = entities.alias_candidates(frame, "k", "n", 0.88).select("a", "b").collect()
+    assert sorted(map(tuple, found)) == sorted(p for p, n in zip(pairs, common, strict=True) if n >= 16)
+
+
+def test_common_lengths():
+    import random
+
+    def brute(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    rng = random.Random(3)
+    a, b = [["".join(rng.choices("ab \0é𐍈", k=rng.randint(0, 70))) for _ in range(400)] for _ in "ab"]
+    found = text.common_lengths(a, b).tolist()
+    assert found == [brute(x, y) if max(len(x), len(y)) < 64 else min(len(x), len(y)) for x, y in zip(a, b, strict=True)]
+    assert text.common_lengths([], []).size == 0
+
+
+@pytest.mark.parametrize("most", [300, 0])
+@pytest.mark.parametrize("least_length, ratio", [(5, 0.88), (6, 0.91), (3, 0.6)])
+def test_alias_edges_equal_brute_force(spark, monkeypatch, most, least_length, ratio):
+    """Names of all lengths, by shared subsequences and by rare strings alone."""
+    import itertools
+    import random
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(entities, "MOST_SUBSEQUENCES", most)
+    rng = random.Random(7)
+    every = {(3, "a"), (3, ""), (3, None), (None, "abcdef"), (4, "one name"), (2, "aaaaaaaaaaaa"), (2, "aaaaaaabaaaaaa"), (2, "x" * 70), (2, "x" * 68 + "yz")}
+    for k in (1, 2):
+        base = ["".join(rng.choices("abc ", k=n)).strip() + "d" for n in (2, 4, 7, 9, 12, 18, 22, 27, 40)] + ["acme incorporated works of ohio number 17"]
+        for name in base * 6:
+            letters = list(name)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(letters) + 1)
+                letters[at : at + rng.randint(0, 1)] = rng.choice([[], ["x"], ["b"]])
+            every.add((k, "".join(letters) + rng.choice(["", "", " tail of it"])))
+    ratio_of = lambda a, b: max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio())
+    held = sorted(x for x in every if x[0] and x[1])
+    expected = {(k, a, b) for (k, a), (j, b) in itertools.combinations(held, 2) if k == j and (min(len(a), len(b)) >= least_length and (a in b or b in a) or ratio_of(a, b) >= ratio)}
+    frame = spark.createDataFrame(list(every) * 2, "k int, n string")
+    found = entities.alias_edges(frame, "k", "n", text.alias_udf(least_length, ratio, False), least_length, ratio)
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Aggregate")  # each pair is judged once, after the distinct

@@ -42,3 +42,13 @@ def test_titles_equal_sql_on_odd_pages(spark, tmp_path):
     expected = dict(con.sql(registry.ORACLES["html_title_meta"]).fetchall())
     assert len(expected) == len(pages) and expected[0] == "and&amp"
     assert dict(map(tuple, registry.QUERIES["html_title_meta"](spark, str(tmp_path)).collect())) == expected
+
+
+def test_alias_pairs_of_many_suppliers_of_a_name(spark, tmp_path):
+    """Copies of a name are linked to its least supplier, which alone stands in the pairs; no link between different names goes."""
+    names = ["Acme Steel Works", "Acme Steel Work", "Other Pumps", "Acme Steel Works", None, None]
+    rows = [(k * len(names) + i, n, nation) for k in range(4) for i, n in enumerate(names) for nation in [i // 4]]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = registry.QUERIES["blocked_alias_pairs"](spark, str(tmp_path)).collect()
+    alike = [(0, 0, r[0]) for r in rows if r[1] == names[0] and r[0] != 0] + [(0, 1, r[0]) for r in rows if r[1] == names[1] and r[0] != 1] + [(0, 2, r[0]) for r in rows if r[1] == names[2] and r[0] != 2]
+    assert sorted(map(tuple, got)) == sorted([(0, 0, 1, False), *[(*x, True) for x in alike]])
